@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing, secrets, token_counts
+from . import matroska, near_dedup, packing, secrets, token_counts
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_spans(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack": op3_pack,
     "op4_matroska": op4_matroska,
     "op5_token_counts": op5_token_counts,
+    "op6_near_dedup": op6_near_dedup,
     "op8_secrets": op8_secrets,
 }
 
