@@ -2,11 +2,11 @@
 
 1. Every document's set of word shingles is hashed to 64 bits and signed by SuperMinHash (SLOTS slots, BANDS bands).
 2. Documents of equal sets are one class; its least doc_id stands for it. Copies are never expanded into pairs.
-3. A band key that several classes share is a bucket. Rounds of stars: each bucket names a member as its pivot (the least id,
-   then pseudo-random ones); every other class whose component differs takes the pivot that most of its buckets name, and the
-   pair is verified on full sets. Linked classes grow together, so later rounds concern only what is still apart.
-4. Whatever pairs of a bucket still lie in different components are all verified; a sketch of two bits per slot first drops pairs
-   whose estimated similarity is over five standard deviations under the threshold. No bucket is capped.
+3. A band key that several classes share is a bucket; its pivot is the member that meets most others over all its buckets. Members
+   near their pivot (by a sketch of two bits per slot) are verified against it on full sets and keep what sets them off from it.
+4. Members of one star that are still in different components are all compared, exactly, by those differences, inside the
+   join: only links leave it. All other pairs of a bucket that are still apart are verified on full sets, unless their sketches lie
+   over five standard deviations under the threshold. No bucket is capped.
 5. Components by union-find within partitions and star contraction between them.
 
 Recall: a pair of similarity s shares a bucket with probability 1 - (1 - s**5)**32: at s = 0.8, 0.999997. A link is reported only
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, map_text, materialise, mix64, utf8
@@ -34,7 +34,10 @@ WORDS = 5
 PERCENT = 80
 #: Unlike bits of 320 at which a pair isn't verified any more: 32 are expected at similarity 0.8, with a deviation of 6.5.
 FAR_BITS = 67
-PIVOT_ROUNDS = 3
+#: Unlike bits up to which a member counts as near its pivot (similarity 0.4). Which side a pair falls on doesn't alter the result.
+NEAR_BITS = 96
+#: Members of a star that one task compares with the others.
+STAR_TASK = 400
 #: Tasks among which the pairs of one pivot are dealt.
 PIVOT_SALTS = 64
 _SKETCH = [f"s{i}" for i in range(2 * SLOTS // 64)]
@@ -67,15 +70,54 @@ def shingle_table(docs: DataFrame, words: int, text: str = "text", key: str = "d
     return map_text(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), work, "id long, items array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough. Pairs of one a are dealt among salts; b's are spread by themselves."""
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sets x, y. Pairs of one a are dealt among salts; b's are spread by themselves."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(PIVOT_SALTS)))
     wanted = salted.select("a", "salt").distinct()
     left = wanted.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    both = salted.join(left, ["a", "salt"]).join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y") - shared).alias("u"))
-    return both.where(F.col("n") * 100 >= F.col("u") * percent).select("a", "b")
+    return salted.join(left, ["a", "salt"]).join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+
+
+def similar(shared: Column, total: Column, percent: int) -> Column:
+    """Whether sets with so many shared elements, of ``total`` in both counts together, are similar enough."""
+    return shared * 100 >= (total - shared) * percent
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    both = with_sets(pairs, sets)
+    return both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"), percent)).select("a", "b")
+
+
+def unlike_bits(prefix: str) -> Column:
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{prefix}{c}"))) for c in _SKETCH), F.lit(0))
+
+
+def renamed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
+
+
+def star_links(stars: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Links between members of one star that are in different components, exactly, from what sets them off from their pivot.
+
+    With m the pivot's elements that a member lacks and e its own extra ones, two members share
+    |pivot| - |m1 or m2| + |e1 and e2| elements. A star of n members is dealt among n / STAR_TASK tasks.
+    """
+    labelled = labels(stars, roots)
+    open_stars = labelled.groupBy("p").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    dealt = labelled.join(open_stars.select("p", F.ceil(F.col("n") / STAR_TASK).cast("int").alias("tasks")), "p").drop("linked")
+    left = renamed(dealt.withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks"))), "l_")
+    right = dealt.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).withColumn("task", F.col("task").cast("long"))
+    size, total = F.col("pivot_size"), F.col("n") + F.col("l_n")
+    most = size - F.greatest(F.size("lacks"), F.size("l_lacks")) + F.least(F.size("extra"), F.size("l_extra"))
+    shared = size - F.size(F.array_union("lacks", "l_lacks")) + F.size(F.array_intersect("extra", "l_extra"))
+    met = (F.col("l_p") == F.col("p")) & (F.col("l_task") == F.col("task")) & (F.col("l_id") < F.col("id")) & (F.col("l_c") != F.col("c"))
+    return left.join(right, met & similar(most, total, percent) & similar(shared, total, percent)).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def labels(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("c", F.col("id"))
+    return rows.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
 
 
 def linked_classes(signs: DataFrame, classed: DataFrame, docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
@@ -84,36 +126,51 @@ def linked_classes(signs: DataFrame, classed: DataFrame, docs: DataFrame, words:
     least = usable.groupBy("h0", "h1", "n_shingles").agg(F.min("id").alias("id"))
     stand = usable.join(least.select("id", "h0", "h1"), ["id", "h0", "h1"], "left_semi")
     banded = stand.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    member = materialise(banded.join(shared, "key").select("key", "id"))
+    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    member = materialise(banded.join(shared, "key").select("key", "id", "n"))
     wanted = member.select("id").distinct()
     sets = materialise(shingle_table(docs.where(F.col(key).isNotNull()).join(wanted, F.col(key) == wanted["id"], "left_semi"), words, text, key).dropDuplicates(["id", "items"]))
-    sketch = stand.join(wanted, "id", "left_semi").select("id", *_SKETCH)
+    sketch = materialise(stand.join(wanted, "id", "left_semi").select("id", *_SKETCH))
     # the classes of one doc_id's texts are one document's
-    links = materialise(classed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.countDistinct("rep").alias("n")).where("n > 1").select("a", "b"))
+    links = materialise(classed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
     roots = None if links.isEmpty() else materialise(components(links))
-    tested = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        labelled = member.withColumn("c", F.col("id")) if roots is None else member.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
-        apart = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("id", "c"), F.col("id") if not turn else F.xxhash64("id", F.lit(turn))).alias("p")).where("c0 < c1")
-        if turn < PIVOT_ROUNDS:
-            near = labelled.join(apart.select("key", "p"), "key").where("c <> p.c").groupBy(F.col("p.id").alias("a"), F.col("id").alias("b")).count()
-            pairs = near.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-        else:
-            rest = labelled.join(apart.select("key"), "key").join(sketch, "id")
-            other = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), *(F.col(c).alias(f"a_{c}") for c in _SKETCH))
-            far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in _SKETCH), F.lit(0))
-            pairs = other.join(rest, (other["key"] == rest["key"]) & (F.col("a") < F.col("id")) & (F.col("ca") != F.col("c")) & (far <= FAR_BITS)).select("a", F.col("id").alias("b")).distinct()
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if turn else pairs
-        if tested is not None:
-            ordered = ordered.join(tested, ["a", "b"], "left_anti")
-        ordered = materialise(ordered)
-        found = materialise(verified(ordered, sets, percent))
-        plain = ordered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = plain if tested is None else tested.union(plain)
+
+    # stars: each bucket's pivot is the member that meets most others over all its buckets
+    hub = member.groupBy("id").agg(F.sum("n").alias("met"))
+    pivots = member.join(hub, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("p"))).alias("top")).select("key", (-F.col("top.p")).alias("p"))
+    starred = materialise(member.join(pivots, "key").select("key", "p", "id"))
+    near = starred.select("p", "id").distinct().where("p <> id").join(sketch, "id").join(renamed(sketch, "p_"), F.col("p") == F.col("p_id")).where(unlike_bits("p_") <= NEAR_BITS)
+    rows = with_sets(near.select(F.col("p").alias("a"), F.col("id").alias("b")), sets)
+    total = F.size("x") + F.size("y")
+    stars = materialise(
+        rows.withColumn("extra", F.array_except("y", "x")).select(
+            F.col("a").alias("p"),
+            F.col("b").alias("id"),
+            F.size("y").alias("n"),
+            F.size("x").alias("pivot_size"),
+            "extra",
+            F.array_except("x", "y").alias("lacks"),
+            similar(F.size("y") - F.size("extra"), total, percent).alias("linked"),
+        )
+    )
+
+    def grown(found: DataFrame) -> None:
+        nonlocal links, roots
+        found = materialise(found)
         if not found.isEmpty():
             links = links.union(found)
             roots = materialise(components(links))
+
+    grown(stars.where("linked").select(F.col("p").alias("a"), F.col("id").alias("b")))
+    grown(star_links(stars, roots, percent))
+    # pairs of a bucket that are not both near its pivot
+    labelled = labels(starred, roots)
+    apart = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    close = stars.select("p", "id", F.lit(True).alias("close")).distinct()
+    rest = labelled.join(apart, "key").join(close, ["p", "id"], "left").withColumn("close", F.coalesce("close", F.col("p") == F.col("id"))).join(sketch, "id")
+    met = (F.col("l_key") == F.col("key")) & (F.col("l_id") < F.col("id")) & (F.col("l_c") != F.col("c")) & ~(F.col("l_close") & F.col("close"))
+    pairs = renamed(rest, "l_").join(rest, met & (unlike_bits("l_") <= FAR_BITS)).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
+    grown(verified(materialise(pairs), sets, percent))
     return links.toDF("id", "root") if roots is None else roots
 
 
