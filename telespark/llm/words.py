@@ -34,8 +34,11 @@ class Words(NamedTuple):
     bounds: np.ndarray  # text i has the words bounds[i]:bounds[i + 1]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = BLANKS) -> Words:
-    """A-Z lower-cased words between separators. Equal words have equal hashes; others differ but for 64-bit chance."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = BLANKS, beginnings: tuple[int, ...] = ()) -> Words:
+    """A-Z lower-cased words between separators. Equal words have equal hashes; others differ but for 64-bit chance.
+
+    For each number of bytes in ``beginnings``, the hash of a longer word's first bytes follows the word's own.
+    """
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
@@ -53,7 +56,15 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
     nth = np.arange(len(kept)) - np.repeat(begin, length)
     value = _BYTE[_LOWER[data[kept]]] * powers(int(length.max()))[nth]
-    return Words(mix64(np.add.reduceat(value, begin) + length.astype(np.uint64)), np.searchsorted(start, offsets))
+    bounds = np.searchsorted(start, offsets)
+    whole = mix64(np.add.reduceat(value, begin) + length.astype(np.uint64))
+    if not beginnings:
+        return Words(whole, bounds)
+    made = np.zeros((len(whole), 1 + len(beginnings)), np.uint64)
+    made[:, 0] = whole
+    for i, n in enumerate(beginnings, 1):
+        made[:, i] = np.where(length > n, mix64(np.add.reduceat(value * (nth < n), begin) + np.uint64(1 << 32 | n)), whole)
+    return Words(made.ravel(), bounds * (1 + len(beginnings)))
 
 
 _MULTIPLIERS = stream64(64, 2) | np.uint64(1)
