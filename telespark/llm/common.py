@@ -69,6 +69,18 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write one file to the shared folder; its path there."""
+    path = f"{shared_dir(spark)}/{name}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(place, True)
+    out.write(bytearray(data))
+    out.close()
+    system.deleteOnExit(place)
+    return path
+
+
 def bucket(col: str | Column, n: int) -> Column:
     """crc32 of an id written as text, modulo n: the folds that the queries' contracts name."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % n
