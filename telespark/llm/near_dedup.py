@@ -185,3 +185,18 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tex
     component = F.coalesce("root", "rep", "id")
     rows = rows.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select(F.col("id").alias(key), "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.col(key).isNull() | (F.col(key) == F.col("component_id")))
+
+
+def distinct_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each group of near copies, with all its columns: the least key's, and of its repeated rows one. Rows without a key stay.
+
+    Only keys are shuffled to find the rows that go; the kept rows are found by an anti join with them.
+    """
+    groups = near_groups(docs, words, percent, text, key)
+    gone = materialise(groups.where("not kept").select(F.col(key).alias("_gone")).distinct())
+    repeated = materialise(docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(F.col(key).alias("_gone")))
+    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, F.col(key) == F.col("_gone"), "left_anti")
+    return once.unionByName(kept.join(repeated, F.col(key) == F.col("_gone"), "left_semi").dropDuplicates([key]))

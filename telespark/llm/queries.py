@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, language_id, matroska, near_dedup, packing, secrets, token_counts, toxicity, url_filter
+from . import ann, language_id, matroska, mixing, near_dedup, packing, secrets, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs, vocabulary("piece_bpe_32k.model")))
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mixing.TARGETS)
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -66,6 +70,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_mix": op2_mix,
     "op3_pack": op3_pack,
     "op4_matroska": op4_matroska,
     "op5_token_counts": op5_token_counts,
