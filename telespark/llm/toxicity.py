@@ -63,11 +63,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def train(index: np.ndarray, bounds: np.ndarray, positive: np.ndarray, prior: float, bits: int = BITS, rounds: int = 300, rate: float = 0.01, decay: float = 1e-3) -> Model:
     """Adam on the non-negative risk with the logistic loss, over rows of distinct buckets; the mean of the later half's iterates."""
     seen = np.bincount(index, minlength=1 << bits)
-    row = np.repeat(np.arange(len(positive)), np.diff(bounds))
+    row = np.repeat(np.arange(len(positive), dtype=np.int32), np.diff(bounds))
     confirmed = np.bincount(index[positive[row]], minlength=1 << bits)
     n_pos, n_un = int(positive.sum()), int((~positive).sum())
     known = np.flatnonzero((confirmed >= max(LEAST_DOCS, LEAST_SHARE * n_pos)) & (seen > confirmed))
-    to = np.full(1 << bits, -1)
+    to = np.full(1 << bits, -1, np.int32)
     to[known] = np.arange(len(known))
     keep = to[index] >= 0
     row, column = row[keep], to[index][keep]
@@ -142,17 +142,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if not positive or not other or prior >= 1:
         return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 40.0 if prior else -40.0)
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in {*positive, *other}], f"{key} long"))
-    rows = sample_features(docs.join(wanted, key, "left_semi"), text, key).toPandas().drop_duplicates("id").sort_values("id")
-    of = {int(i): k for k, i in enumerate(rows["id"])}
-    found = [(of[i], p) for ids, p in ((positive, True), (other, False)) for i in ids if i in of]
-    buckets, marks = rows["buckets"].to_list(), np.stack(rows["marks"].to_list())
+    rows = sample_features(docs.join(wanted, key, "left_semi"), text, key).toArrow().sort_by("id").combine_chunks()
+    ids = rows.column("id").to_numpy()
+    first_row = np.unique(ids, return_index=True)[1]  # repeated rows of one id: one
+    of = dict(zip(ids[first_row].tolist(), first_row.tolist(), strict=True))
+    found = [(of[i], p) for own, p in ((positive, True), (other, False)) for i in own if i in of]
+    if not found:
+        return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))))
     at, is_positive = np.array([k for k, _ in found]), np.array([p for _, p in found])
+    marks = rows.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, MARKS)
     keep = distinct_rows(is_positive, marks[at])
     at, is_positive = at[keep], is_positive[keep]
     if not is_positive.any() or is_positive.all():
         return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))))
-    index = np.concatenate([np.asarray(buckets[k], np.int64) for k in at])
-    bounds = np.cumsum([0, *(len(buckets[k]) for k in at)])
+    taken = rows.column("buckets").combine_chunks().take(pa.array(at))
+    index, bounds = taken.flatten().to_numpy(), np.concatenate(([0], np.cumsum(taken.value_lengths().to_numpy()))).astype(np.int64)
+    del rows, taken
     return train(index, bounds, is_positive, prior)
 
 
