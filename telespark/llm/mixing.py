@@ -121,12 +121,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         return {"id": batch.column(0), "domain": batch.column(2), "tokens": f.tokens, "dense": list(f.dense), "index": pa.ListArray.from_arrays(pa.array(f.bounds.astype(np.int32)), pa.array(f.index.astype(np.int32)))}
 
     found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").select("id", "text", "domain")
-    rows = map_text(found, work, "id long, domain string, tokens long, dense array<double>, index array<int>").toPandas().sort_values("id")
-    if rows.empty:
+    rows = map_text(found, work, "id long, domain string, tokens long, dense array<double>, index array<int>").toArrow().sort_by("id").combine_chunks()
+    if not rows.num_rows:
         return None
-    domains = sorted(rows["domain"].unique())
-    f = Features(rows["tokens"].to_numpy(), np.stack(rows["dense"].to_list()), np.concatenate([np.asarray(x, np.int64) for x in rows["index"]]), np.cumsum([0, *map(len, rows["index"])]))
-    return train(f, np.searchsorted(domains, rows["domain"]), domains)
+    label = np.array(rows.column("domain").to_pylist())
+    domains = sorted(set(label.tolist()))
+    index = rows.column("index").combine_chunks()
+    dense = rows.column("dense").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    f = Features(rows.column("tokens").to_numpy(), dense, index.flatten().to_numpy(), np.concatenate(([0], np.cumsum(index.value_lengths().to_numpy()))).astype(np.int64))
+    return train(f, np.searchsorted(domains, label), domains)
 
 
 def expected_tokens(docs: DataFrame, classifier: Classifier, text: str = "text", key: str = "doc_id") -> DataFrame:
