@@ -1 +1 @@
-
+"""Scalar functions: checksums, variable-length integers, special functions."""
