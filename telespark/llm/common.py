@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,13 +19,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised operator takes at once. A longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is not installed (local runs from any folder)."""
+    """Let Python workers import this package where it is not installed (local runs from any folder), and bound their batches.
+
+    Rows of text are far larger than Spark's default batch of 10,000 rows expects, and a batch is in memory on both sides at once. A setting
+    other than the default is left alone.
+    """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "2000")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
@@ -118,6 +127,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after whose last batch the worker, which Spark keeps for later tasks, gives its free memory back to the system."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return own
+
+
 def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text") -> DataFrame:
     """mapInArrow over slices of bounded size; ``work`` returns the columns of ``schema`` by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -130,7 +151,7 @@ def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | di
             made = work(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 _A, _B, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -167,4 +188,4 @@ def replace_text(docs: DataFrame, change: Callable[[str], str], column: str = "t
                 part = part.set_column(at, part.schema.field(at), pa.array([None if x is None else len(x) for x in new]).cast(part.schema.field(at).type))
             yield part
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

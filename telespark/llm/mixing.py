@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialise, steps, utf8
+from .common import map_text, materialise, steps, tidy, utf8
 from .words import NOT_LETTERS, Words, hashed_words
 
 LABELLED = 6_000
@@ -222,4 +222,4 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
             n = np.floor(rate + part.column(chance).to_numpy(zero_copy_only=False)).astype(np.int64)
             yield part.take(pa.array(np.repeat(np.arange(part.num_rows), n))).drop_columns([chance])
 
-    return dealt.mapInArrow(run, docs.schema)
+    return dealt.mapInArrow(tidy(run), docs.schema)

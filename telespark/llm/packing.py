@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text, materialise, texts
+from .common import map_text, materialise, texts, tidy
 
 CAPACITY = 4096
 #: The id that closes each document.
@@ -346,7 +346,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, key:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in pieces_columns), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=[*pieces_columns, "sequence_id", "offset"])
 
     pieces_columns = pieces.columns
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, map_text, mix64, steps, stream64, utf8
+from .common import bucket, map_text, mix64, steps, stream64, tidy, utf8
 from .words import NOT_LETTERS, hashed_words, shingle_sets
 
 BITS = 18
@@ -187,4 +187,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFr
             keep = sigmoid(sums(weights[index].astype(np.float64), bounds) + bias) < 0.5
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
