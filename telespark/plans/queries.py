@@ -311,7 +311,7 @@ def ts_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the codec -------------------------------------------------------------------------------------------------------------------------------
 
-#: Whole numbers on a lattice of halves come back as they were.
+#: Whole numbers come back within a quarter, so rounding restores them.
 WHOLE = CodecConfig(absolute_error=0.25, enable_index=True)
 FINE = CodecConfig(absolute_error=0.01)
 RATED = CodecConfig(target_rate=3.0, enable_index=True)
@@ -324,7 +324,7 @@ def whole(which: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("slice_fetch", with_sql("E", " SELECT series_id, CAST(sample_idx AS BIGINT) AS sample_idx, floor(CAST(value AS DOUBLE)) AS value FROM s WHERE sample_idx BETWEEN 4000 AND 4511"))
 def slice_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """512 samples of a compressed series, which is the operator."""
-    return block_ops.decode_slice(block_ops.encode_blocks(whole("E", spark, sf_dir), WHOLE), 4000, 512).select("series_id", "sample_idx", F.col("value").cast("double").alias("value"))
+    return block_ops.decode_slice(block_ops.encode_blocks(whole("E", spark, sf_dir), WHOLE), 4000, 512).select("series_id", "sample_idx", F.rint("value").alias("value"))
 
 
 _REQUESTS = [(1, "E", 0, 1), (2, "E", 17, 301), (3, "E", 2025, 97), (4, "E", 4096, 2048), (5, "E", 6143, 105)]
@@ -334,12 +334,12 @@ _REQUESTS = [(1, "E", 0, 1), (2, "E", 17, 301), (3, "E", 2025, 97), (4, "E", 409
 def multi_slice_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame(_REQUESTS, "request_id long, series_id string, start long, count long")
     made = block_ops.decode_slices(block_ops.encode_blocks(whole("E", spark, sf_dir), WHOLE), asked)
-    return made.select("request_id", "sample_idx", F.col("value").cast("double").alias("value"))
+    return made.select("request_id", "sample_idx", F.rint("value").alias("value"))
 
 
 @query("decode_lossless_lattice", with_sql("Et", " SELECT series_id, CAST(sample_idx AS BIGINT) AS sample_idx, floor(CAST(value AS DOUBLE)) AS value FROM s"))
 def decode_lossless_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_ops.decode_series(block_ops.encode_blocks(whole("Et", spark, sf_dir), WHOLE)).select("series_id", "sample_idx", F.col("value").cast("double").alias("value"))
+    return block_ops.decode_series(block_ops.encode_blocks(whole("Et", spark, sf_dir), WHOLE)).select("series_id", "sample_idx", F.rint("value").alias("value"))
 
 
 def pairs(which: str, config: CodecConfig, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,7 +455,7 @@ def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.timeseries import decode_chunks, encode_chunks
 
     chunks = encode_chunks(whole("Et", spark, sf_dir), per_chunk=1000, absolute_error=0.25)
-    return decode_chunks(chunks).select("series_id", (F.col("chunk_no") * 1000 + F.col("i")).alias("sample_idx"), "ts", F.col("value").cast("double").alias("value"))
+    return decode_chunks(chunks).select("series_id", (F.col("chunk_no") * 1000 + F.col("i")).alias("sample_idx"), "ts", F.rint("value").alias("value"))
 
 
 @query("prometheus_points", with_sql("Eu", " SELECT series_id, CAST(sample_idx AS BIGINT) AS sample_idx, ts, CAST(value AS DOUBLE) AS value FROM s"))
