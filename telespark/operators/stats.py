@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import BETA_MAX, BETA_MIN, RATIO_POINTS, SCALE, WINDOW
 
 BLOCK_KEY = ["series_id", "block_no"]
-IN_BLOCK = Window.partitionBy(*BLOCK_KEY).orderBy("pos")
+
+
+def in_block() -> WindowSpec:
+    return Window.partitionBy(*BLOCK_KEY).orderBy("pos")
 
 
 def _f32(x: float) -> Column:
@@ -25,7 +28,7 @@ def predictor_select(blocks: DataFrame) -> DataFrame:
     head = blocks.where(F.col("pos") < WINDOW)
     mean = F.avg(F.col("value").cast("double")).over(Window.partitionBy(*BLOCK_KEY))
     c = head.withColumn("c", F.col("value").cast("double") - mean)
-    lagged = c.withColumns({"c1": F.lag("c", 1).over(IN_BLOCK), "c2": F.lag("c", 2).over(IN_BLOCK), "x1": F.lag("value", 1).over(IN_BLOCK), "x2": F.lag("value", 2).over(IN_BLOCK)})
+    lagged = c.withColumns({"c1": F.lag("c", 1).over(in_block()), "c2": F.lag("c", 2).over(in_block()), "x1": F.lag("value", 1).over(in_block()), "x2": F.lag("value", 2).over(in_block())})
     middle = F.col("x1").cast("double")
     sums = lagged.groupBy(*BLOCK_KEY).agg(
         F.count("*").alias("w"),
@@ -48,7 +51,7 @@ def predictor_select(blocks: DataFrame) -> DataFrame:
 
 def open_loop_residuals(blocks: DataFrame, modes: DataFrame) -> DataFrame:
     """(series_id, block_no, pos, residual), in float arithmetic, from true history; history starts anew in every block."""
-    x1, x2 = F.lag("value", 1).over(IN_BLOCK), F.lag("value", 2).over(IN_BLOCK)
+    x1, x2 = F.lag("value", 1).over(in_block()), F.lag("value", 2).over(in_block())
     rows = blocks.withColumns({"x1": x1, "x2": x2}).join(modes.select(*BLOCK_KEY, "mode", "harmonic"), BLOCK_KEY)
     two = _f32(2.0)
     guess = (

@@ -358,9 +358,9 @@ def error_bound_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("series_id", "samples", (F.coalesce("max_absolute_error", F.lit(9.0)) <= 0.01 * 1.0001 + 1e-4).alias("holds"))
 
 
-@query("rate_budget_holds", _holds("Et"))
+@query("rate_budget_holds", _holds("O"))
 def rate_budget_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = block_ops.encode_blocks(SERIES["Et"](spark, sf_dir), RATED)
+    made = block_ops.encode_blocks(SERIES["O"](spark, sf_dir), RATED)
     rows = made.groupBy("series_id").agg(F.sum("sample_count").alias("samples"), (F.sum("record_bytes") + 64 + 12 + 16 * F.count("*")).alias("bytes"))
     return rows.select("series_id", F.col("samples").cast("long").alias("samples"), (F.col("bytes") <= F.floor(F.col("samples") * RATED.target_rate / 8)).alias("holds"))
 
@@ -374,9 +374,9 @@ def slice_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("request_id").agg(F.count("*").alias("samples"), F.bool_and(F.col("value").eqNullSafe(F.col("full"))).alias("holds"))
 
 
-@query("frame_roundtrip", _holds("Et"))
+@query("frame_roundtrip", _holds("O"))
 def frame_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = block_ops.encode_blocks(SERIES["Et"](spark, sf_dir), RATED)
+    made = block_ops.encode_blocks(SERIES["O"](spark, sf_dir), RATED)
     back = block_ops.decode_series(block_ops.from_frames(block_ops.to_frames(made, RATED))).withColumnRenamed("value", "again")
     rows = block_ops.decode_series(made).join(back, ["series_id", "sample_idx"], "full")
     return rows.groupBy("series_id").agg(F.count("*").alias("samples"), F.bool_and(F.col("value").eqNullSafe(F.col("again"))).alias("holds"))
@@ -404,20 +404,20 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SERIES["Et"](spark, sf_dir).select("series_id", "sample_idx", "value").groupBy("series_id").applyInArrow(run, "series_id string, samples long, holds boolean")
 
 
-@query("index_reconcile", with_sql("Et", " SELECT series_id, count(DISTINCT block_no) AS blocks, CAST(0 AS BIGINT) AS faults FROM s GROUP BY series_id"))
+@query("index_reconcile", with_sql("O", " SELECT series_id, count(DISTINCT block_no) AS blocks, CAST(0 AS BIGINT) AS faults FROM s GROUP BY series_id"))
 def index_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared index entries against observed records, by a full outer join, and the entries' own rules."""
-    made = block_ops.encode_blocks(SERIES["Et"](spark, sf_dir), RATED)
+    made = block_ops.encode_blocks(SERIES["O"](spark, sf_dir), RATED)
     declared = block_ops.record_offsets(made)
     seen = made.select("series_id", "block_no", F.lit(True).alias("seen"))
     rows = declared.join(seen, ["series_id", "block_no"], "full").join(block_ops.index_faults(declared).select("series_id", "block_no", F.lit(True).alias("wrong")), ["series_id", "block_no"], "left")
     return rows.groupBy("series_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("byte_offset").isNull() | F.col("seen").isNull() | F.col("wrong").isNotNull()).alias("faults"))
 
 
-@query("codec_comparison", with_sql("Et", " SELECT series_id, count(*) AS samples, TRUE AS within FROM s GROUP BY series_id"))
+@query("codec_comparison", with_sql("O", " SELECT series_id, count(*) AS samples, TRUE AS within FROM s GROUP BY series_id"))
 def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate codec beside the quantile baseline of as many bits, joined on series and rate."""
-    rows = SERIES["Et"](spark, sf_dir)
+    rows = SERIES["O"](spark, sf_dir)
     own = quality_ops.quality(rows.join(block_ops.decode_series(block_ops.encode_blocks(rows, RATED)).withColumnRenamed("value", "decoded"), ["series_id", "sample_idx"]), ["series_id"]).withColumn("rate", F.lit(3))
     base = quality_ops.quality(quality_ops.uniform_quantile(rows, ["series_id"], 3), ["series_id"]).select("series_id", F.col("mse").alias("base_mse"), F.lit(3).alias("rate"))
     return own.join(base, ["series_id", "rate"]).select("series_id", "samples", (F.col("mse").isNotNull() & F.col("base_mse").isNotNull()).alias("within"))
