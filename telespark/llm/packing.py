@@ -2,7 +2,7 @@
 
 No length exceeds the sequence length, so the plan needs only one count per length, whatever the number of documents:
 
-1. lengths over CUT are large. Sorted by length they fall into groups of equal cardinality; each is rounded up to its group's largest;
+1. lengths over a quarter of a sequence are large. Sorted by length they fall into groups of equal cardinality; each is rounded up to its group's largest;
 2. column generation finds how often to use which configuration of the few rounded sizes (a linear programme over configurations);
 3. whole uses of each configuration get actual lengths of their groups in place of the rounded sizes;
 4. lengths that are left, then the small ones, go by best fit into the fullest sequence that still holds them, else into new ones.
@@ -32,7 +32,9 @@ from .common import map_text, materialise, texts, tidy
 CAPACITY = 4096
 #: The id that closes each document.
 CLOSE = 1
-GROUPS = 48
+GROUPS = 192
+#: Lengths over this part of a sequence are large.
+LARGE = 4
 #: Rows of one length that one window task takes, about.
 SALT_ROWS = 100_000
 
@@ -40,8 +42,8 @@ SALT_ROWS = 100_000
 #: form already, lower-case alike everywhere, and letters, digits and white space among them are the same to every library.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]|<\\|")
-#: Words of a worker whose ids are kept; the store is emptied when it is full.
-KEPT = 1_000_000
+#: Words of a worker whose ids are kept.
+KEPT = 300_000
 
 
 class WordTokenizer:
@@ -58,15 +60,10 @@ class WordTokenizer:
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.reset()
+        self.young, self.old = Store(), Store()
 
-    def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pool = np.zeros(0, np.uint32)
-        self.start = self.length = np.zeros(0, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words, from texts of many words each: a word's last token alone has the mark of a word's end."""
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words in a row and their numbers, from texts of many words each: a word's last token alone has the mark of a word's end."""
         parts = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast([" ".join(words[a : a + 500]) for a in range(0, len(words), 500)], add_special_tokens=False)]
         made = np.concatenate(parts)
         n = np.diff(np.flatnonzero(self.ends[made]), prepend=-1)
@@ -74,26 +71,44 @@ class WordTokenizer:
             single = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
             n = np.fromiter(map(len, single), np.int64, len(single))
             made = np.fromiter((i for x in single for i in x), np.uint32, int(n.sum()))
-        self.index.update(zip(words, range(len(self.length), len(self.length) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
-        self.pool = np.concatenate([self.pool, made])
+        return made, n
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
-        if len(self.index) > KEPT:
-            self.reset()
+        if len(self.young.index) > KEPT // 2:  # words not met since the last change are forgotten
+            self.young, self.old = Store(), self.young
         words = [None if UNUSUAL.search(t) else WORD.findall(t.lower()) for t in batch]
-        known = self.index
-        if new := list({w for own in words if own for w in own if w not in known}):
-            self.learn(new)
+        known, before = self.young.index, self.old.index
+        missing = {w for own in words if own for w in own if w not in known}
+        if again := [w for w in missing if w in before]:
+            self.young.add(again, *self.old.ids(np.fromiter(map(before.__getitem__, again), np.int64, len(again))))
+        if new := [w for w in missing if w not in before]:
+            self.young.add(new, *self.learn(new))
         odd = [i for i, own in enumerate(words) if own is None]
         whole = dict(zip(odd, self.library.encode_batch_fast([batch[i] for i in odd], add_special_tokens=False), strict=True)) if odd else {}
-        code = np.fromiter((known[w] for own in words if own for w in own), np.int64)
+        ids, n = self.young.ids(np.fromiter((known[w] for own in words if own for w in own), np.int64))
+        bounds = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *(len(own or ()) for own in words)])]
+        return [np.array(whole[i].ids, np.uint32) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(words))]
+
+
+class Store:
+    """Token ids by word."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.pool = np.zeros(0, np.uint32)
+        self.start = self.length = np.zeros(0, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.length), len(self.length) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words in a row, and the numbers of each."""
         n = self.length[code]
         ends = np.cumsum(n)
-        ids = self.pool[np.repeat(self.start[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(own or ()) for own in words])))] if len(words) else []
-        return [np.array(whole[i].ids, np.uint32) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(words))]
+        return self.pool[np.repeat(self.start[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
 @lru_cache(maxsize=4)
@@ -200,7 +215,7 @@ def configurations(size: np.ndarray, demand: np.ndarray, capacity: int, rounds:
 def plan_templates(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, cut: int | None = None) -> list[Template]:
     """Templates that hold exactly counts[n] documents of each length n."""
     counts = np.asarray(counts, np.int64).copy()
-    cut = capacity // 8 if cut is None else cut
+    cut = capacity // LARGE if cut is None else cut
     templates: list[Template] = []
     if full := int(counts[capacity]):
         templates.append(Template(full, ((capacity, 1),), 0))
