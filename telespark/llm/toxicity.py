@@ -32,6 +32,8 @@ POSITIVES, UNLABELLED = 3_000, 9_000
 FOLDS = 5
 #: Features that fewer confirmed documents have carry no weight.
 LEAST_DOCS, LEAST_SHARE = 3, 0.01
+#: How far, in log-odds, the threshold may move to meet the prior.
+SHIFT = 0.5
 #: Least shingle hashes by which near copies in the sample are told.
 MARKS = 3
 _SALT = stream64(MARKS, 9)
@@ -93,9 +95,9 @@ def train(index: np.ndarray, bounds: np.ndarray, positive: np.ndarray, prior: fl
             w_mean, b_mean = w_mean + w, b_mean + b
     half = rounds - rounds // 2
     w, b = w_mean / half, b_mean / half
-    # the share of unlabelled documents at 0.5 or above is set to the prior
+    # the share of unlabelled documents at 0.5 or above moves towards the prior, as far as SHIFT lets it: labels may not be a fair sample
     f = np.sort(sums(w[column], ends)[~positive])
-    b = -float(f[min(n_un - 1, int(n_un * (1 - prior)))]) if n_un else b
+    b = float(np.clip(-f[min(n_un - 1, int(n_un * (1 - prior)))], b - SHIFT, b + SHIFT))
     full = np.zeros(1 << bits)
     full[known] = w
     return Model(full, b)
