@@ -193,10 +193,10 @@ def distinct_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Only keys are shuffled to find the rows that go; the kept rows are found by an anti join with them.
     """
     groups = near_groups(docs, words, percent, text, key)
-    gone = materialise(groups.where("not kept").select(F.col(key).alias("_gone")).distinct())
-    repeated = materialise(docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(F.col(key).alias("_gone")))
-    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = materialise(groups.where("not kept").select(key).distinct())
+    repeated = materialise(docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(key))
+    kept = docs.join(gone, key, "left_anti").select(docs.columns)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, F.col(key) == F.col("_gone"), "left_anti")
-    return once.unionByName(kept.join(repeated, F.col(key) == F.col("_gone"), "left_semi").dropDuplicates([key]))
+    once = kept.join(repeated, key, "left_anti").select(docs.columns)
+    return once.union(kept.join(repeated, key, "left_semi").select(docs.columns).dropDuplicates([key]))
