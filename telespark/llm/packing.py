@@ -197,17 +197,22 @@ def configurations(size: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     """Configurations of the rounded sizes and how many whole sequences use each, from the linear programme's optimum."""
     n = len(size)
     basis = np.diag((capacity // size).astype(float))
+    inverse = np.diag(1 / np.diag(basis))
     for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
-        amount = inverse @ demand
-        price = np.ones(n) @ inverse
-        gain, column = best_configuration(price, size, capacity)
+        amount = (inverse * demand).sum(axis=1)
+        gain, column = best_configuration(inverse.sum(axis=0), size, capacity)
         if gain <= 1 + 1e-7:
             break
-        step = inverse @ column
+        step = (inverse * column).sum(axis=1)
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(np.argmin(ratio))] = column
-    amount = np.linalg.inv(basis) @ demand
+        out = int(np.argmin(ratio))
+        basis[:, out] = column
+        row = inverse[out] / step[out]
+        inverse -= step[:, None] * row
+        inverse[out] = row
+    amount = np.maximum((inverse * demand).sum(axis=1), 0)
+    if np.abs((basis * amount).sum(axis=1) - demand).max() > 1e-6 * demand.max():  # the inverse has drifted
+        amount = np.maximum(np.linalg.solve(basis, demand), 0)
     uses = [(np.round(basis[:, j]).astype(np.int64), int(np.floor(amount[j] + 1e-6))) for j in range(n)]
     return [(column, times) for column, times in uses if times > 0]
 
