@@ -32,6 +32,8 @@ POSITIVES, UNLABELLED = 3_000, 9_000
 FOLDS = 5
 #: Features that fewer confirmed documents have carry no weight.
 LEAST_DOCS, LEAST_SHARE = 3, 0.01
+#: Features whose share among confirmed documents differs from that among the others by fewer deviations carry no weight.
+SURPRISE = 2.0
 #: How far, in log-odds, the threshold may move to meet the prior.
 SHIFT = 0.5
 #: Least shingle hashes by which near copies in the sample are told.
@@ -68,7 +70,9 @@ def train(index: np.ndarray, bounds: np.ndarray, positive: np.ndarray, prior: fl
     row = np.repeat(np.arange(len(positive), dtype=np.int32), np.diff(bounds))
     confirmed = np.bincount(index[positive[row]], minlength=1 << bits)
     n_pos, n_un = int(positive.sum()), int((~positive).sum())
-    known = np.flatnonzero((confirmed >= max(LEAST_DOCS, LEAST_SHARE * n_pos)) & (seen > confirmed))
+    expected = (seen - confirmed) * (n_pos / n_un)
+    surprise = (confirmed - expected) / np.sqrt(expected + 1)
+    known = np.flatnonzero((confirmed >= max(LEAST_DOCS, LEAST_SHARE * n_pos)) & (seen > confirmed) & (np.abs(surprise) >= SURPRISE))
     to = np.full(1 << bits, -1, np.int32)
     to[known] = np.arange(len(known))
     keep = to[index] >= 0

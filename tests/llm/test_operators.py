@@ -508,7 +508,7 @@ def test_languages(spark):
 # ---- 9, toxicity
 
 
-def toxic_table(spark, n=900):
+def toxic_table(spark, n=2400):
     r = np.random.default_rng(9)
     vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
     rows, labels = [], []
@@ -518,7 +518,7 @@ def toxic_table(spark, n=900):
         if bad:
             t += ["vilething"] * 2 + ["nastyword"]
         rows.append((i, " ".join(t), "x", 1))
-        if i % 3 == 0 or bad and i % 16 == 0:
+        if i % 3 == 0:
             labels.append((i, 1, int(bad)))
     rows += [(n, None, "x", 1), (n + 1, "", "x", 1), (n + 2, "vilething nastyword " * 20_000, "x", 1), (None, "vilething nastyword", "x", 1), rows[0]]
     return spark.createDataFrame(rows, "doc_id long, text string, predicted string, k int"), spark.createDataFrame([*labels, (None, 1, 1), (0, None, None), labels[0]], "doc_id long, quality int, toxic int")
@@ -528,9 +528,9 @@ def test_toxicity(spark):
     docs, labels = toxic_table(spark)
     model = toxicity.fit(docs, labels)
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
-    right = sum(got[i].predicted == (i % 8 == 0) for i in range(900))
-    assert right >= 0.97 * 900
-    assert got[900].score == got[901].score < 0.5 <= got[902].score
+    right = sum(got[i].predicted == (i % 8 == 0) for i in range(2400))
+    assert right >= 0.97 * 2400
+    assert got[2400].score == got[2401].score < 0.5 <= got[2402].score
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None)
     kept = toxicity.drop_toxic(docs, labels)
