@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +44,7 @@ SALT_ROWS = 100_000
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]|<\\|")
 #: Words of a worker whose ids are kept.
-KEPT = 300_000
+KEPT = 600_000
 
 
 class WordTokenizer:
@@ -76,32 +77,50 @@ class WordTokenizer:
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.young.index) > KEPT // 2:  # words not met since the last change are forgotten
             self.young, self.old = Store(), self.young
-        words = [None if UNUSUAL.search(t) else WORD.findall(t.lower()) for t in batch]
-        known, before = self.young.index, self.old.index
-        missing = {w for own in words if own for w in own if w not in known}
-        if again := [w for w in missing if w in before]:
-            self.young.add(again, *self.old.ids(np.fromiter(map(before.__getitem__, again), np.int64, len(again))))
-        if new := [w for w in missing if w not in before]:
-            self.young.add(new, *self.learn(new))
-        odd = [i for i, own in enumerate(words) if own is None]
+        words = [() if UNUSUAL.search(t) else WORD.findall(t.lower()) for t in batch]
+        odd = [i for i, (t, own) in enumerate(zip(batch, words, strict=True)) if t and not own]
+        code = np.fromiter(map(self.young.index.__getitem__, chain.from_iterable(words)), np.int64)
+        if missed := self.young.index.missed:
+            self.young.index.missed = []
+            before = self.old.index
+            known = np.fromiter((dict.get(before, w, -1) for w in missed), np.int64, len(missed))
+            ids, n = self.old.ids(known[known >= 0])
+            if (known < 0).any():
+                new_ids, new_n = self.learn([w for w, k in zip(missed, known.tolist(), strict=True) if k < 0])
+                ids, n = np.concatenate([ids, new_ids]), np.concatenate([n, new_n])
+            place = np.argsort(known < 0, kind="stable")  # words kept before come first
+            self.young.add(place, ids, n)
         whole = dict(zip(odd, self.library.encode_batch_fast([batch[i] for i in odd], add_special_tokens=False), strict=True)) if odd else {}
-        ids, n = self.young.ids(np.fromiter((known[w] for own in words if own for w in own), np.int64))
-        bounds = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *(len(own or ()) for own in words)])]
+        ids, n = self.young.ids(code)
+        bounds = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, words)])].tolist()
         return [np.array(whole[i].ids, np.uint32) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(words))]
 
 
+class Codes(dict):
+    """Numbers words in the order in which they are first looked up, and lists those that were new."""
+
+    def __init__(self) -> None:
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.missed.append(word)
+        return code
+
+
 class Store:
     """Token ids by word."""
 
     def __init__(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Codes()
         self.pool = np.zeros(0, np.uint32)
         self.start = self.length = np.zeros(0, np.int64)
 
-    def add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        self.index.update(zip(words, range(len(self.length), len(self.length) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
+    def add(self, place: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Ids, and the numbers of each, of the words that come at these places after those in store."""
+        start, length = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        start[place], length[place] = len(self.pool) + np.cumsum(n) - n, n
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
         self.pool = np.concatenate([self.pool, ids])
 
     def ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
