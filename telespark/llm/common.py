@@ -37,9 +37,8 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
-    # workers share an executor's memory with the JVM: one heap, which tidy() can give back
+    # workers share an executor's memory with the JVM: Arrow's buffers go to the heap that tidy() can give back
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
-    env.setdefault("MALLOC_ARENA_MAX", "1")
     return spark
 
 
