@@ -44,7 +44,7 @@ SALT_ROWS = 100_000
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]|<\\|")
 #: Words of a worker whose ids are kept.
-KEPT = 300_000
+KEPT = 600_000
 
 
 class WordTokenizer:
