@@ -47,6 +47,13 @@ UNUSUAL = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]|<\\|")
 KEPT = 600_000
 
 
+def unusual(text: str) -> bool:
+    """Whether a text must go to the library whole. Of the ASCII characters only the four separators are white space to this pattern alone."""
+    if text.isascii():
+        return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return UNUSUAL.search(text) is not None
+
+
 class WordTokenizer:
     """Token ids of texts as the tokenizers library gives them, with each different word tokenised once.
 
@@ -77,7 +84,7 @@ class WordTokenizer:
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.young.index) > KEPT // 2:  # words not met since the last change are forgotten
             self.young, self.old = Store(), self.young
-        words = [() if UNUSUAL.search(t) else WORD.findall(t.lower()) for t in batch]
+        words = [() if unusual(t) else WORD.findall(t.lower()) for t in batch]
         odd = [i for i, (t, own) in enumerate(zip(batch, words, strict=True)) if t and not own]
         code = np.fromiter(map(self.young.index.__getitem__, chain.from_iterable(words)), np.int64)
         if missed := self.young.index.missed:
