@@ -40,7 +40,8 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
+#: '=' may stand right before a word (KEY=value) or pad its end.
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mongodb|amqp|redis|ftp)://[^\s\"'<>]+|(?i:endpoint|hostname|host|region|bucket)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._:/-]{3,}", re.ASCII)
 ENDPOINT_SIGN = re.compile(r"://|(?i:endpoint|host|region|bucket)", re.ASCII)
 ACCOUNT = re.compile(r"(?i:username|user|login|account|client_id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}", re.ASCII)
