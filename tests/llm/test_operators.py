@@ -594,6 +594,26 @@ def test_mixing_meets_its_targets(spark):
     assert {k: v for k, v in want.items() if v} == dict(seen.items())
 
 
+def test_mixing_with_a_few_very_long_documents(spark):
+    r = np.random.default_rng(1)
+    n = np.concatenate([np.maximum(1, np.exp(r.normal(5.5, 1, 5000)).round()), np.full(20, 125_000.0)]).astype(int)
+    domain = r.choice(3, len(n), p=[0.6, 0.3, 0.1])
+    p = np.full((len(n), 3), 0.0015)
+    p[np.arange(len(n)), domain] = 0.997
+    rows = spark.createDataFrame([(int(x), y.tolist()) for x, y in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    targets = np.array([0.9, 0.1, 0.0])
+    taken, unit = mixing.fit_rates(rows, ["a", "b", "c"], {"a": 0.9, "b": 0.1})
+    a, rate = p * (n / unit)[:, None], np.ones(len(n))
+    for v in taken:
+        rate = np.maximum(0, rate + a @ v)
+    share = rate @ a / a.sum()
+    # toxic tokens of at least 0.0015 come with all others; the rest is met
+    assert np.abs(share - targets).max() < 0.003 and (rate > 0).mean() > 0.5
+    # the optimality condition, apart from the fit: v pulls as hard as the lack pushes
+    gram = a.T @ a
+    assert np.abs(rate @ a - targets * len(n) + mixing.CHANGE * gram @ taken[0]).max() <= 2 * mixing.CLOSE * len(n)
+
+
 def test_mixing_with_bounds_without_labels_and_empty(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
