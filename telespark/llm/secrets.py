@@ -1,14 +1,17 @@
 """Operator 8, secret scans: multipart credential linking.
 
 Base findings are assignments, access identifiers and hexadecimal runs. Besides, weak parts are gathered: secret-like
-words (long, of mixed character classes), endpoints (addresses, host and region assignments) and account names. A weak part alone says
+words (long, of mixed character classes, however long), endpoints (addresses, host and region assignments) and account names. A weak part alone says
 nothing, so none is reported for itself. The parts of a document are interval-joined: two parts are in one scope if they lie in the
 same paragraph (no blank line between them) at most REACH code points apart. Weak parts are reported as spans
 only where complementary ones co-occur in a scope:
 
-* an access identifier (strong) and a secret-like word: the word is a ``linked_secret``;
+* an access identifier (strong) and a secret: a secret-like word is a ``linked_secret``;
 * those two and an endpoint: the endpoint is a ``linked_endpoint``;
-* an account name, a secret-like word and an endpoint: ``linked_account``, ``linked_secret``, ``linked_endpoint``.
+* an account name, a secret and an endpoint: ``linked_account``, ``linked_secret``, ``linked_endpoint``.
+
+A secret is a secret-like word, or an assignment or hexadecimal run of the base findings (strong), which is reported already and gets no second span.
+A word within a base finding is none of its own; one that only holds a base finding is. What overlaps an access identifier is not that identifier's secret.
 
 Each document is a scope of its own, so the interval join runs on its sorted offsets, where the text is; no row is shuffled.
 
@@ -41,7 +44,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: '=' may stand right before a word (KEY=value) or pad its end.
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mongodb|amqp|redis|ftp)://[^\s\"'<>]+|(?i:endpoint|hostname|host|region|bucket)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._:/-]{3,}", re.ASCII)
 ENDPOINT_SIGN = re.compile(r"://|(?i:endpoint|host|region|bucket)", re.ASCII)
 ACCOUNT = re.compile(r"(?i:username|user|login|account|client_id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}", re.ASCII)
@@ -82,32 +85,58 @@ def near(a: np.ndarray, b: np.ndarray, scope_a: np.ndarray, scope_b: np.ndarray,
     return (first < len(b)) & (b[np.minimum(first, len(b) - 1), 0] <= a[:, 1] + reach)
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, by start."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def meets(a: np.ndarray, b: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Which intervals of a overlap one of b, which don't overlap each other, or (whole) lie within one."""
+    if not len(a) or not len(b):
+        return np.zeros(len(a), bool)
+    i = np.minimum(np.searchsorted(b[:, 1], a[:, 0], side="right"), len(b) - 1)
+    if whole:
+        return (b[i, 0] <= a[:, 0]) & (a[:, 1] <= b[i, 1])
+    return (b[i, 0] < a[:, 1]) & (a[:, 0] < b[i, 1])
+
+
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak parts whose complement is near."""
-    access = [(s, e) for k, s, e in base if k == "access"]
+    table = lambda spans: np.array(spans, np.int64).reshape(-1, 2)
+    access = table([(s, e) for k, s, e in base if k == "access"])
     has_sign = ENDPOINT_SIGN.search(text) is not None
-    if not access and not has_sign:
+    if not len(access) and not has_sign:
         return []
-    taken = sorted((s, e) for k, s, e in base if k != "access")
-    secret = [m.span() for m in WEAK_SECRET.finditer(text) if mixed(m[0])]
-    if not secret:
+    secret = table([m.span() for m in WEAK_SECRET.finditer(text) if mixed(m[0])])
+    assign, hexes = (table([(s, e) for k, s, e in base if k == x]) for x in ("assign", "hex"))
+    strong = table(merged([*map(tuple, assign.tolist()), *map(tuple, hexes[~meets(hexes, access)].tolist())]))
+    if not len(secret) and not len(strong):
         return []
-    secret = [x for x in secret if not any(s < x[1] and x[0] < e for s, e in [*taken, *access])]
+    secret = secret[~meets(secret, strong, whole=True) & ~meets(secret, access)]
     endpoint = [m.span() for m in ENDPOINT.finditer(text)] if has_sign else []
     account = [m.span() for m in ACCOUNT.finditer(text)] if endpoint else []
     blanks = np.array([m.start() for m in BLANK_LINE.finditer(text)], np.int64)
-    parts = {k: np.array(v, np.int64).reshape(-1, 2) for k, v in (("a", access), ("s", secret), ("e", endpoint), ("n", account))}
+    parts = {"a": access, "s": secret, "b": strong, "e": table(endpoint), "n": table(account)}
     scope = {k: np.searchsorted(blanks, v[:, 0]) for k, v in parts.items()}
 
     def by(x: str, keep: np.ndarray | None, y: str) -> np.ndarray:
         keep = np.ones(len(parts[y]), bool) if keep is None else keep
         return near(parts[x], parts[y][keep], scope[x], scope[y][keep], reach)
 
-    with_access = by("s", None, "a")
-    with_account = by("s", None, "n") & by("s", None, "e")
-    kept_secret = with_access | with_account
-    kept_endpoint = by("e", with_access, "s") | by("e", with_account, "s")
-    kept_account = by("n", with_account, "s") & by("n", None, "e")
+    kept_secret, kept_endpoint, kept_account = (np.zeros(len(parts[k]), bool) for k in "sen")
+    for k in "sb":
+        with_access = by(k, None, "a") & ~meets(parts[k], access)
+        with_account = by(k, None, "n") & by(k, None, "e")
+        if k == "s":
+            kept_secret = with_access | with_account
+        kept_endpoint |= by("e", with_access, k) | by("e", with_account, k)
+        kept_account |= by("n", with_account, k) & by("n", None, "e")
     out: list[Span] = []
     for kind, k, keep in (("linked_secret", "s", kept_secret), ("linked_endpoint", "e", kept_endpoint), ("linked_account", "n", kept_account)):
         out += [(kind, int(s), int(e)) for s, e in parts[k][keep]]
