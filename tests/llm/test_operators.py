@@ -482,6 +482,24 @@ def test_few_and_no_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0])], schema), every=50).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 6])
+def test_distant_vectors_are_all_found(spark, n):
+    v = np.eye(64)[: (n + 1) // 2]
+    rows = [(50 * i, x.tolist()) for i, x in enumerate(np.concatenate([v, -v])[:n])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in ann.nearest(df, every=50).collect()) == sorted(brute_nearest(rows, 50, 5))
+
+
+def test_queries_opposite_a_tight_cluster(spark):
+    r = np.random.default_rng(6)
+    centre = r.normal(size=64)
+    rows = [(i, (-centre if i % 50 == 0 else centre + 1e-6 * r.normal(size=64)).tolist()) for i in range(1, 201)]
+    rows = [(i, (np.array(v) + (1e-3 * i if i % 50 == 0 else 0) * np.eye(64)[0]).tolist()) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in ann.nearest(df, every=50).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(brute_nearest(rows, 50, 5))]
+
+
 # ---- 1, languages
 
 
