@@ -6,7 +6,7 @@ p R+(+1) + max(0, Ru(-1) - p R+(-1)): the share of the unlabelled risk that toxi
 left, the risk on clean documents, is not let below zero; where it would be, the step goes the other way, as published.
 
 The training sample is bounded: at most POSITIVES toxic and UNLABELLED unlabelled documents of the training folds, least
-hash of doc_id first. The prior is the toxic share of the labelled rows of the training folds. Everything else covers all documents.
+hash of doc_id first. A word that no unlabelled one of them has keeps its weight, which decay bounds: it may be used in toxic documents only. The prior is the toxic share of the labelled rows of the training folds. Everything else covers all documents.
 
 Defined cases: a null or empty text gets the score of no words; repeated rows give repeated results; several labels of one doc_id
 count as toxic if one is; null labels are no labels; without any toxic or unlabelled training document every score is the prior
@@ -72,7 +72,7 @@ def train(index: np.ndarray, bounds: np.ndarray, positive: np.ndarray, prior: fl
     n_pos, n_un = int(positive.sum()), int((~positive).sum())
     expected = (seen - confirmed) * (n_pos / n_un)
     surprise = (confirmed - expected) / np.sqrt(expected + 1)
-    known = np.flatnonzero((confirmed >= max(LEAST_DOCS, LEAST_SHARE * n_pos)) & (seen > confirmed) & (np.abs(surprise) >= SURPRISE))
+    known = np.flatnonzero((confirmed >= max(LEAST_DOCS, LEAST_SHARE * n_pos)) & (np.abs(surprise) >= SURPRISE))
     to = np.full(1 << bits, -1, np.int32)
     to[known] = np.arange(len(known))
     keep = to[index] >= 0

@@ -588,6 +588,15 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_words_that_no_unlabelled_document_has():
+    r = np.random.default_rng(9)
+    positive = np.arange(4000) < 200
+    own = [np.unique(np.r_[r.integers(100, 400, 20), [7] if i % 4 == 0 and i < 200 else []]).astype(np.int64) for i in range(4000)]
+    model = toxicity.train(np.concatenate(own), np.r_[0, np.cumsum([len(x) for x in own])], positive, 0.001)
+    assert model.weights[7] > 0.1
+    assert np.isfinite(model.weights).all() and np.abs(model.weights).max() < 10
+
+
 def test_labels_of_the_held_out_fold_teach_nothing(spark):
     docs, labels = toxic_table(spark)
     from pyspark.sql import functions as F
