@@ -116,8 +116,9 @@ def train(f: Features, label: np.ndarray, domains: list[str], rounds: int = 150,
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Classifier | None:
-    """Learn the domains from at most LABELLED labelled documents, least hash of the id first. None without any."""
+    """Learn the domains from at most LABELLED labelled documents of docs, least hash of the id first. None without any."""
     named = labels.where(f"{key} is not null and quality is not null and toxic is not null").select(F.col(key).alias("id"), F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic")).alias("domain"))
+    named = named.join(docs.select(F.col(key).alias("id")), "id", "left_semi")
     sample = named.groupBy("id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("id"), "id").limit(LABELLED).toPandas()
     if sample.empty:
         return None

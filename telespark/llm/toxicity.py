@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     n, toxic = marked.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
     prior = toxic / n if n else 0.0
     first = lambda df, most: df.select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    positive = [r[0] for r in first(marked.where("toxic > 0"), POSITIVES).collect()]
+    positive = [r[0] for r in first(marked.where("toxic > 0").join(docs.select(key), key, "left_semi"), POSITIVES).collect()]
     other = [r[0] for r in first(usable(docs), UNLABELLED).collect()]
     if not positive or not other or prior >= 1:
         return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 40.0 if prior else -40.0)

@@ -607,6 +607,13 @@ def test_labels_of_the_held_out_fold_teach_nothing(spark):
     assert (a.weights == b.weights).all() and a.bias == b.bias
 
 
+def test_confirmed_documents_come_from_the_table(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 40)
+    docs, labels = toxic_table(spark)
+    foreign = spark.createDataFrame([(i, 1, 1) for i in range(100_000, 104_000)] + [(i, 1, 0) for i in range(104_000, 132_000)], labels.schema)
+    assert (toxicity.fit(docs, labels.union(foreign)).weights != 0).any()
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_table(spark)
     assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0}
@@ -655,6 +662,13 @@ def test_mixing_with_a_few_very_long_documents(spark):
     assert np.abs(rate @ a - targets * len(n) + mixing.CHANGE * gram @ taken[0]).max() <= 2 * mixing.CLOSE * len(n)
 
 
+def test_labelled_documents_come_from_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LABELLED", 20)
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "JUNK!! JUNK??") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    assert mixing.fit_classifier(docs, labels).domains == ["q0t0", "q1t0"]
+
+
 def test_mixing_with_bounds_without_labels_and_empty(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
