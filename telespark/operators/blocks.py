@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BLOCK, HEADER_BYTES, LEAST_RECORD, CodecConfig
+from ..config import BLOCK, HEADER_BYTES, CodecConfig
 from ..errors import CorruptedStream, RateBudgetExceeded
 from ..functions.checksum import crc32c_many
 from ..session import ready
@@ -55,7 +55,7 @@ def _rows(keys: list[pa.Array], blocks: list[codec.Block]) -> pa.RecordBatch:
     )
 
 
-def _encoder(config: CodecConfig, budgeted: bool):
+def _encoder(config: CodecConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
@@ -65,32 +65,17 @@ def _encoder(config: CodecConfig, budgeted: bool):
                 if config.error_bounded:
                     made = codec.encode_error(x, count, config.absolute_error)
                 else:
-                    budget = part.column("budget").to_numpy() if budgeted else np.array([codec.budgets(int(c), config, not b) for c, b in zip(count, part.column("block_no").to_numpy(), strict=True)])
-                    made = codec.encode_rate(x, count, config, budget)
+                    budget = [codec.record_budget(int(b), int(c), config) for b, c in zip(part.column("block_no").to_numpy(), count, strict=True)]
+                    made = codec.encode_rate(x, count, config, np.array(budget))
                 yield _rows([part.column(c) for c in _NAMES[:3]], made)
 
     return run
 
 
 def encode_blocks(samples: DataFrame, config: CodecConfig) -> DataFrame:
-    """The block table of samples (series_id, sample_idx, value).
-
-    In rate mode a short last block may be too small to pay for a frame of its own; it then gets what its series' other blocks have left of the
-    whole budget, in a second pass over those blocks alone.
-    """
+    """The block table of samples (series_id, sample_idx, value). Every block's budget is known from its number, so each is coded once, by itself."""
     ready(samples.sparkSession)
-    rows = block_arrays(samples)
-    if config.error_bounded:
-        return rows.mapInArrow(_encoder(config, False), TABLE)
-    least = int(LEAST_RECORD)
-    own = F.floor(F.col("sample_count") * config.target_rate / 8) - HEADER_BYTES - (F.lit(16) + F.when(F.col("block_no") == 0, 12).otherwise(0) if config.enable_index else 0)
-    full = rows.where(own >= least).mapInArrow(_encoder(config, False), TABLE)
-    spent = full.groupBy("series_id").agg(F.sum("record_bytes").alias("spent"), F.count("*").alias("n"))
-    short = rows.where(own < least).join(spent, "series_id", "left")
-    framing = HEADER_BYTES + ((F.coalesce("n", F.lit(0)) + 1) * 16 + 12 if config.enable_index else 0)
-    left = F.floor((F.col("start_sample") + F.col("sample_count")) * config.target_rate / 8) - framing - F.coalesce("spent", F.lit(0))
-    short = short.withColumn("budget", left.cast("long")).select("series_id", "block_no", "start_sample", "values", "budget")
-    return full.unionByName(short.mapInArrow(_encoder(config, True), TABLE))
+    return block_arrays(samples).mapInArrow(_encoder(config), TABLE)
 
 
 def _block(r: dict) -> codec.Block:

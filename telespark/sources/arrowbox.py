@@ -1,55 +1,119 @@
-"""Arrow float32 columns in a container of one frame per chunk."""
+"""Containers of float32 columns: one frame for each chunk of a column, behind a table of their sizes.
+
+As tables: to_containers() packs rows of chunks, from_containers() unpacks rows of containers, each on Arrow batches without a shuffle of samples.
+A container is read in one piece, so it must fit a task.
+"""
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import ready
 from . import frame
 
-#: Fixed values of the container.
+#: Fixed values of the container: its header, and the entry of a chunk.
 MAGIC, VERSION = b"AARW", 1
-HEADER, ENTRY = struct.Struct("<4sHHQf"), struct.Struct("<QI")
+HEADER = np.dtype([("magic", "S4"), ("version", "<u2"), ("chunks", "<u2"), ("values", "<u8"), ("rate", "<f4")])
+ENTRY = np.dtype([("bytes", "<u8"), ("values", "<u4")])
+MOST_CHUNKS = np.iinfo(np.uint16).max
+
+UNPACKED = "series_id string, chunk_no int, start_sample long, values array<float>"
+
+
+class InvalidContainer(ValueError):
+    """What is wrong with a container's bytes."""
+
+
+def pack(chunks: list[np.ndarray], rate: float) -> bytes:
+    """The container of a column's chunks; an empty chunk takes no bytes."""
+    if len(chunks) > MOST_CHUNKS:
+        raise ValueError(f"a container holds {MOST_CHUNKS} chunks at most")
+    frames = [frame.compress(c, target_rate=rate) if len(c) else b"" for c in chunks]
+    entries = np.zeros(len(chunks), ENTRY)
+    entries["bytes"], entries["values"] = [len(f) for f in frames], [len(c) for c in chunks]
+    header = np.array([(MAGIC, VERSION, len(chunks), int(entries["values"].sum()), rate)], HEADER)
+    return b"".join([header.tobytes(), entries.tobytes(), *frames])
+
+
+def contents(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The header, and the chunks' entries with the offsets of their frames, once all of it is consistent."""
+    if len(data) < HEADER.itemsize:
+        raise InvalidContainer("shorter than a header")
+    header = np.frombuffer(data, HEADER, 1)[0]
+    body = HEADER.itemsize + ENTRY.itemsize * int(header["chunks"])
+    known = header["magic"] == MAGIC and header["version"] == VERSION
+    entries = np.frombuffer(data, ENTRY, int(header["chunks"]), HEADER.itemsize) if known and body <= len(data) else np.zeros(0, ENTRY)
+    size = np.minimum(entries["bytes"], len(data) + 1).astype(np.int64)  # so that sums can't overflow
+    end = body + np.cumsum(size)
+    faults = {
+        "not a container of this version": not known,
+        "the table of chunks is cut off": body > len(data),
+        "a rate outside 2 to 8": not 2 <= header["rate"] <= 8,
+        "values without bytes": bool(((size == 0) & (entries["values"] > 0)).any()),
+        "chunks don't fill the container": int(end[-1] if len(end) else body) != len(data),
+        "chunks and header differ in values": int(entries["values"].sum(dtype=np.int64)) != int(header["values"]),
+    }
+    if found := [what for what, wrong in faults.items() if wrong]:
+        raise InvalidContainer("; ".join(found))
+    return header, np.rec.fromarrays([end - size, size, entries["values"].astype(np.int64)], names="at,bytes,values")
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The chunks of a container."""
+    _, entries = contents(data)
+    return [frame.decompress(data[e.at : e.at + e.bytes], int(e.values)) if e.bytes else np.zeros(0, np.float32) for e in entries]
 
 
 def compress_arrow(column: pa.Array | pa.ChunkedArray, target_rate: float = 3.0) -> pa.Buffer:
+    """The container of an Arrow float32 column without nulls, its chunks kept apart."""
     if not isinstance(column, (pa.Array, pa.ChunkedArray)) or column.type != pa.float32():
-        raise TypeError("an Arrow float32 array is needed")
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    if any(c.null_count for c in chunks):
-        raise ValueError("null values can't be encoded")
-    if len(chunks) > 0xFFFF:
-        raise ValueError("too many chunks")
-    frames = [frame.compress(c.to_numpy(), target_rate=target_rate) for c in chunks]
-    entries = b"".join(ENTRY.pack(len(f), len(c)) for f, c in zip(frames, chunks, strict=True))
-    return pa.py_buffer(HEADER.pack(MAGIC, VERSION, len(frames), sum(map(len, chunks)), target_rate) + entries + b"".join(frames))
+        raise TypeError("an Arrow float32 column is needed")
+    if column.null_count:
+        raise ValueError("a column with nulls can't be encoded")
+    return pa.py_buffer(pack([c.to_numpy() for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])], target_rate))
 
 
 def decompress_arrow(buffer: pa.Buffer | bytes, length: int) -> pa.Array:
+    """All values of a container that is known to hold so many."""
     data = bytes(buffer)
-    if length < 0:
-        raise ValueError("length must be non-negative")
-    if len(data) < HEADER.size:
-        raise ValueError("truncated container header")
-    magic, version, n, total, rate = HEADER.unpack_from(data)
-    if magic != MAGIC or version != VERSION:
-        raise ValueError("unsupported container")
-    if total != length:
-        raise ValueError("the container has another number of values")
-    if not 2 <= rate <= 8:
-        raise ValueError("invalid rate")
-    at = HEADER.size + n * ENTRY.size
-    if at > len(data):
-        raise ValueError("truncated chunk table")
-    parts, seen = [], 0
-    for size, count in ENTRY.iter_unpack(data[HEADER.size : at]):
-        if not size and count or size > len(data) - at:
-            raise ValueError("an invalid or truncated chunk")
-        if size:
-            parts.append(frame.decompress(data[at : at + size], count))
-        at, seen = at + size, seen + count
-    if at != len(data) or seen != length:
-        raise ValueError("inconsistent container")
-    return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.float32), pa.float32())
+    header, _ = contents(data)
+    if length != int(header["values"]):
+        raise InvalidContainer(f"{int(header['values'])} values, not {length}")
+    return pa.array(np.concatenate([np.zeros(0, np.float32), *unpack(data)]), pa.float32())
+
+
+def to_containers(chunks: DataFrame, rate: float = 3.0) -> DataFrame:
+    """(series_id, container) of rows (series_id, chunk_no, values: array<float>), the chunks in order."""
+    ready(chunks.sparkSession)
+    gathered = chunks.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "values"))).alias("c")).select("series_id", F.col("c.values").alias("chunks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.column("chunks"):
+                if any(c.values is None or c.values.null_count for c in row):
+                    raise ValueError("a column with nulls can't be encoded")
+                made.append(pack([c.values.to_numpy() for c in row], rate))
+            yield pa.RecordBatch.from_arrays([batch.column("series_id"), pa.array(made, pa.binary())], names=["series_id", "container"])
+
+    return gathered.mapInArrow(run, "series_id string, container binary")
+
+
+def from_containers(containers: DataFrame) -> DataFrame:
+    """The chunks of rows (series_id, container) as (series_id, chunk_no, start_sample, values)."""
+    ready(containers.sparkSession)
+    schema = pa.schema([("series_id", pa.string()), ("chunk_no", pa.int32()), ("start_sample", pa.int64()), ("values", pa.list_(pa.float32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("series_id").to_pylist(), batch.column("container").to_pylist(), strict=True):
+                parts = unpack(data)
+                size = np.array([len(p) for p in parts], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(np.cumsum(size) - size), pa.array(parts, pa.list_(pa.float32()))], schema=schema)
+
+    return containers.select("series_id", "container").mapInArrow(run, UNPACKED)
