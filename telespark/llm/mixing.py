@@ -1,22 +1,23 @@
 """Operator 2, mixing sources to target weights: soft-membership mixing.
 
-A classifier trained on the labelled table predicts each document's posterior over domains (a domain is one combination of label
-values). With a document's tokens spread over the domains by its posterior (its row a of expected domain tokens), projected
-least squares fits one nonnegative rate per document so that the expected token totals, the sum of rate times a, match the targets:
-target share times all tokens. Rates start at 1 and are moved as little as that takes: r = max(0, 1 + a . v) with one vector v for all documents,
-found by Newton's method on the totals: a step is (G + CHANGE * G0)+ e, where e is what the totals still lack, G the Gram matrix of the rows a whose
-rate is not at 0 and G0 that of all rows, so a solution without active bounds is reached in one step, however few documents hold the tokens. The fit ends
-when the optimality condition holds to CLOSE, and says so in the log if it does not after ROUNDS passes. The driver holds only G, e and v, a few numbers
-per domain; every executor works out its documents' rates from v.
+A classifier trained on the labelled table predicts each document's posterior p over domains (a domain is one combination of label
+values). With a document's n tokens spread over the domains by its posterior, projected least squares fits one nonnegative rate r per
+document so that the expected token totals, the sum of r n p, meet the targets: a target share times all tokens of the domains that have a
+target. Rates start at 1 and are moved as little as that takes, every token counting alike: r = max(0, 1 + p . v) with one vector v for all
+documents, so documents of one domain are treated alike, however long. v is found by Newton's method on the totals: a step is
+(G + CHANGE * G0)+ e, where e is what the totals still lack, G the sum of n p p' over the documents whose rate is not at 0 and G0 that of all.
+A step that makes things worse is halved. The fit ends when the optimality condition holds to CLOSE, and says so in the log if it does not
+after ROUNDS passes. The driver holds only G, e and v, a few numbers per domain; every executor works out its documents' rates from v.
 
 A document is then taken rate times: the whole part, and once more with the fractional part as its chance, by a hash of its id.
 
 The training sample is bounded by LABELLED rows. Tokens here are white-space separated words.
 
 Defined cases: a null or empty text has no tokens, keeps rate 1 and is taken once; repeated rows each get the rate of their text; several
-labels of one doc_id: the greatest; rows with null labels teach nothing; without labelled documents all rates are 1; domains without a
-target have target 0; if no rates meet the targets, the squared lack (in units of G0) plus CHANGE times the squared change of the rates is least, as the
-closest of all would be a handful of documents taken over and over, and the log tells the lack; an empty table gives an empty table; other columns are kept by the stage.
+labels of one doc_id: the greatest; rows with null labels teach nothing; without labelled documents, or targets for their domains, all rates
+are 1; domains without a target pull no rate; where posteriors of two domains tie, the first by name is the likeliest; if no rates meet the
+targets, the squared lack (in units of G0) plus CHANGE times the squared change of the rates is least, and the log tells the lack; whole texts
+are read, however long; an empty table gives an empty table; other columns are kept by the stage.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialise, steps, tidy, utf8
+from .common import discard, fresh, give_back, least_ids, map_text, materialise, share_below, steps, tidy, utf8
 from .words import NOT_LETTERS, Words, hashed_words
 
 LABELLED = 6_000
@@ -118,8 +120,10 @@ def train(f: Features, label: np.ndarray, domains: list[str], rounds: int = 150,
 def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Classifier | None:
     """Learn the domains from at most LABELLED labelled documents of docs, least hash of the id first. None without any."""
     named = labels.where(f"{key} is not null and quality is not null and toxic is not null").select(F.col(key).alias("id"), F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic")).alias("domain"))
-    named = named.join(docs.select(F.col(key).alias("id")), "id", "left_semi")
-    sample = named.groupBy("id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("id"), "id").limit(LABELLED).toPandas()
+    of = docs.select(F.col(key).alias("id"))
+    at = lambda share: named.where(share_below(F.col("id"), share)).join(of.where(share_below(F.col("id"), share)), "id", "left_semi")
+    ids = docs.sparkSession.createDataFrame([(int(i),) for i in least_ids(labels.count(), LABELLED, at)], "id long")
+    sample = named.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.max("domain").alias("domain")).toPandas()
     if sample.empty:
         return None
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(int(i), d) for i, d in sample.itertuples(index=False)], "id long, domain string"))
@@ -137,7 +141,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     index = rows.column("index").combine_chunks()
     dense = rows.column("dense").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     f = Features(rows.column("tokens").to_numpy(), dense, index.flatten().to_numpy(), np.concatenate(([0], np.cumsum(index.value_lengths().to_numpy()))).astype(np.int64))
-    return train(f, np.searchsorted(domains, label), domains)
+    made = train(f, np.searchsorted(domains, label), domains)
+    del rows, index, dense, f
+    give_back()
+    return made
 
 
 def expected_tokens(docs: DataFrame, classifier: Classifier, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -153,62 +160,63 @@ def expected_tokens(docs: DataFrame, classifier: Classifier, text: str = "text",
     return made.withColumnRenamed("k", key)
 
 
-def rate_of(steps_taken: list[np.ndarray], unit: float) -> Column:
-    """The rate that the steps give a row of (n_tokens, posterior): each step a projection on rates of 0 and more."""
-    rate = F.lit(1.0)
-    for v in steps_taken:
-        dot = sum((F.col("posterior")[d] * float(x) for d, x in enumerate(v)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate + F.col("n_tokens") / F.lit(unit) * dot)
-    return rate
+def rate_of(v: np.ndarray) -> Column:
+    """The rate that v gives a row of (n_tokens, posterior)."""
+    pull = sum((F.col("posterior")[d] * float(x) for d, x in enumerate(v) if x), F.lit(0.0))
+    return F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0.0), F.lit(1.0) + pull)).otherwise(1.0)
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], rounds: int = ROUNDS) -> tuple[list[np.ndarray], float]:
-    """The one step from rates of 1 to the optimum over a written table of (n_tokens, posterior), as a list, and the unit of tokens."""
-    k = len(domains)
-    got = rows.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).first()
-    if not got["tokens"]:
-        return [], 1.0
-    unit = got["tokens"] / got["n"]
-    a = [F.col("n_tokens") / F.lit(unit) * F.col("posterior")[d] for d in range(k)]
-    share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
-    goal = share / (share.sum() or 1) * got["n"]
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], rounds: int = ROUNDS) -> np.ndarray:
+    """The optimal v over a written table of (n_tokens, posterior); 0 for domains without a target."""
+    named = [d for d, name in enumerate(domains) if name in targets]
+    k = len(named)
+    v = np.zeros(len(domains))
+    all_tokens = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    if not all_tokens or not k:
+        return v
+    n = F.col("n_tokens") / F.lit(float(all_tokens))
+    p = [F.col("posterior")[d] for d in named]
 
     def at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Totals, the Gram matrix of the rows whose rate is not at 0, and half the sum of squared rates."""
-        rate = rate_of([v], unit)
-        free = F.when(F.col("rate") > 0, 1.0).otherwise(0.0)
-        table = rows.select(rate.alias("rate"), *(x.alias(f"a{i}") for i, x in enumerate(a)))
+        """Totals, the Gram matrix of the rows whose rate is not at 0, and half the sum of squared rates, as shares of all tokens."""
+        table = rows.where("n_tokens > 0").select(rate_of(v).alias("rate"), n.alias("n"), *(x.alias(f"p{i}") for i, x in enumerate(p)))
+        free = F.when(F.col("rate") > 0, F.col("n")).otherwise(0.0)
         pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-        sums = table.agg(*(F.sum(F.col("rate") * F.col(f"a{i}")) for i in range(k)), *(F.sum(free * F.col(f"a{i}") * F.col(f"a{j}")) for i, j in pairs), F.sum(F.col("rate") * F.col("rate"))).first()
+        sums = table.agg(*(F.sum(F.col("rate") * F.col("n") * F.col(f"p{i}")) for i in range(k)), *(F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs), F.sum(F.col("n") * F.col("rate") * F.col("rate"))).first()
         gram = np.zeros((k, k))
         for (i, j), x in zip(pairs, sums[k:-1], strict=True):
             gram[i, j] = gram[j, i] = x
         return np.array(sums[:k], float), gram, sums[-1] / 2
 
-    v = np.zeros(k)
     now, free_gram, half = at(v)
-    gram = free_gram
-    value = half
+    share = np.array([max(0.0, targets[domains[d]]) for d in named])
+    goal = share / (share.sum() or 1) * now.sum()
+    gram, value = free_gram, half
     for _ in range(rounds):
-        slope = now - goal + CHANGE * gram @ v
-        if np.abs(slope).max() <= CLOSE * got["n"]:
+        slope = now - goal + CHANGE * gram @ v[named]
+        if np.abs(slope).max() <= CLOSE:
             break
         step = -np.linalg.pinv(free_gram + CHANGE * gram, rcond=1e-13, hermitian=True) @ slope
         part = 1.0
         while True:  # the whole step as a rule; bounds that it meets may call for less
-            near = v + part * step
-            now, free_gram, half = at(near)
-            new = half - goal @ near + CHANGE / 2 * near @ gram @ near
-            if new <= value + 1e-4 * part * (slope @ step) + 1e-12 * got["n"] or part < 1e-3:
+            near = v.copy()
+            near[named] += part * step
+            found = at(near)
+            new = found[2] - goal @ near[named] + CHANGE / 2 * near[named] @ gram @ near[named]
+            better = new <= value + 1e-4 * part * (slope @ step) + 1e-12
+            if better or part < 1e-6:
                 break
             part /= 2
-        v, value = near, new
-    else:
-        logging.getLogger(__name__).warning("the rates are not optimal after %d rounds: %s off", rounds, np.abs(slope).max() / got["n"])
-    lack = dict(zip(domains, ((goal - now) / got["n"]).round(6).tolist(), strict=True))
-    if max(map(abs, lack.values())) > 1e-3:
+        if not better:
+            break
+        v, value, (now, free_gram, half) = near, new, found
+    off = np.abs(now - goal + CHANGE * gram @ v[named]).max()
+    if off > CLOSE:
+        logging.getLogger(__name__).warning("the rates are not optimal: %s of all tokens off", off)
+    lack = dict(zip((domains[d] for d in named), (goal - now).round(6).tolist(), strict=True))
+    if max(map(abs, lack.values())) > 1e-4:
         logging.getLogger(__name__).warning("no rates meet the targets; shares of all tokens that are lacking: %s", lack)
-    return [v], unit
+    return v
 
 
 def copies_of(rate: Column, key: str) -> Column:
@@ -222,10 +230,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str
     classifier = fit_classifier(docs, labels, text, key)
     if classifier is None:
         classifier = Classifier([""], np.zeros((260, 1)), np.zeros((1 << BITS, 1)), np.zeros(259), np.ones(259))
-        targets = {"": 1.0}
+        targets = {}
     rows = materialise(expected_tokens(docs, classifier, text, key))
-    taken, unit = fit_rates(rows, classifier.domains, targets)
-    rate = rate_of(taken, unit)
+    rate = rate_of(fit_rates(rows, classifier.domains, targets))
     names = F.array(*map(F.lit, classifier.domains))
     likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return rows.select(key, "n_tokens", F.element_at(names, likeliest).alias("domain"), "posterior", rate.alias("rate"), copies_of(rate, key).alias("copies"))
@@ -236,22 +243,19 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
     classifier = fit_classifier(docs, labels, text, key)
     if classifier is None:
         return docs
-    taken, unit = fit_rates(materialise(expected_tokens(docs, classifier, text, key).select("n_tokens", "posterior")), classifier.domains, targets)
-    shared = docs.sparkSession.sparkContext.broadcast((classifier, taken, unit))
-    chance = "_chance"
-    while chance in docs.columns:
-        chance += "_"
+    rows = materialise(expected_tokens(docs, classifier, text, key).select("n_tokens", "posterior"))
+    v = fit_rates(rows, classifier.domains, targets)
+    discard(rows)
+    shared = docs.sparkSession.sparkContext.broadcast((classifier, v))
+    chance = fresh("_chance", docs)
     dealt = docs.withColumn(chance, F.pmod(F.xxhash64(F.col(key), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30))
 
     def run(batches):
-        model, history, scale = shared.value
+        model, pull = shared.value
         for part in steps(batches, text):
             f = features(part.column(text))
-            a = posteriors(model, f) * (f.tokens / scale)[:, None]
-            rate = np.ones(part.num_rows)
-            for v in history:
-                rate = np.maximum(0.0, rate + a @ v)
-            n = np.floor(rate + part.column(chance).to_numpy(zero_copy_only=False)).astype(np.int64)
+            rate = np.where(f.tokens > 0, np.maximum(0.0, 1.0 + posteriors(model, f) @ pull), 1.0)
+            n = np.floor(rate + pc.fill_null(part.column(chance), 0.0).to_numpy(zero_copy_only=False)).astype(np.int64)
             yield part.take(pa.array(np.repeat(np.arange(part.num_rows), n))).drop_columns([chance])
 
     return dealt.mapInArrow(tidy(run), docs.schema)
