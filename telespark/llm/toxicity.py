@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, map_text, mix64, steps, stream64, tidy, utf8
+from .common import bucket, give_back, least_ids, map_text, mix64, share_below, steps, stream64, tidy, utf8
 from .words import NOT_LETTERS, hashed_words, shingle_sets
 
 BITS = 18
@@ -142,9 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     marked = usable(labels).where("toxic is not null")
     n, toxic = marked.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
     prior = toxic / n if n else 0.0
-    first = lambda df, most: df.select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    positive = [r[0] for r in first(marked.where("toxic > 0").join(docs.select(key), key, "left_semi"), POSITIVES).collect()]
-    other = [r[0] for r in first(usable(docs), UNLABELLED).collect()]
+    of = lambda df, share: df.select(F.col(key).alias("id")).where(share_below(F.col("id"), share))
+    positive = least_ids(toxic, POSITIVES, lambda share: of(marked.where("toxic > 0"), share).join(of(docs, share), "id", "left_semi")) if toxic else []
+    other = least_ids(docs.count(), UNLABELLED, lambda share: of(usable(docs), share))
     if not positive or not other or prior >= 1:
         return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 40.0 if prior else -40.0)
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in {*positive, *other}], f"{key} long"))
@@ -164,7 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     taken = rows.column("buckets").combine_chunks().take(pa.array(at))
     index, bounds = taken.flatten().to_numpy(), np.concatenate(([0], np.cumsum(taken.value_lengths().to_numpy()))).astype(np.int64)
     del rows, taken
-    return train(index, bounds, is_positive, prior)
+    model = train(index, bounds, is_positive, prior)
+    del index, bounds
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
