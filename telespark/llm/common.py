@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import shutil
 import sys
@@ -11,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised operator takes at once. A longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's settings of Arrow batches: name, default, and what the operators use instead of it.
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1048576b"))
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -31,8 +34,9 @@ def ready(spark: SparkSession) -> SparkSession:
     Rows of text are far larger than Spark's default batch of 10,000 rows expects, and a batch is in memory on both sides at once. A setting
     other than the default is left alone.
     """
-    if spark.conf.get(_BATCH, "10000") == "10000":
-        spark.conf.set(_BATCH, "2000")
+    for name, default, ours in _BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
@@ -80,6 +84,12 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: only then does Spark delete the shuffle files of steps that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
     """Write one file to the shared folder; its path there."""
     path = f"{shared_dir(spark)}/{name}"
@@ -92,14 +102,93 @@ def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
+#: Keys that join_spread() may broadcast at most: those of over 1 / HOT_KEYS of the rows.
+HOT_KEYS = 8192
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined (left or inner) with a table of distinct keys, whose ``count`` column tells how many of the ``total`` rows have the key.
+
+    Rows of a hot key stay where they are: keys of at least total / HOT_KEYS rows are at most HOT_KEYS, whatever the data, so they are
+    broadcast. All other rows are shuffled, and none of their keys can fill a task.
+    """
+    is_hot = F.col(count) * HOT_KEYS >= max(total, HOT_KEYS * 2)
+    hot = F.broadcast(table.where(is_hot).drop(count))
+    rest = rows.join(F.broadcast(table.where(is_hot).select(*on)), on, "left_anti").join(table.where(~is_hot).drop(count), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
+#: Bits of a sieve at most (16 MB), and longs in a row of it.
+SIEVE_BITS, SIEVE_LONGS = 1 << 27, 32
+
+
+class Sieve(NamedTuple):
+    """A bitmap of hashed keys. It says yes to each of its keys, and to a small share of others: under a sixteenth, more beyond SIEVE_BITS / 16 keys."""
+
+    table: DataFrame
+    bits: int
+
+    def place(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+
+
+def sieve(keys: DataFrame, column: str) -> Sieve:
+    """A sieve of the non-null keys of one column: native aggregates, of bounded size. Lineage ends there."""
+    n = keys.count()
+    made = Sieve(keys, min(SIEVE_BITS, 1 << max(16, (16 * n).bit_length())))
+    at = made.place(F.col(column))
+    rows = keys.where(F.col(column).isNotNull()).select(F.shiftright(at, 11).alias("row"), F.shiftright(at, 6).bitwiseAND(SIEVE_LONGS - 1).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
+    words = rows.groupBy("row", "word").agg(F.bit_or("bit").alias("bits"))
+    longs = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0).cast("long")) for w in range(SIEVE_LONGS)]
+    return Sieve(materialise(words.groupBy("row").agg(F.array(*longs).alias("longs"))), made.bits)
+
+
+def sifted(df: DataFrame, column: str, by: Sieve, held: bool = True) -> DataFrame:
+    """The rows whose key the sieve says yes to, or (not held) no, as for null keys. Nothing is shuffled."""
+    row, longs = fresh("_row", df), fresh("_longs", df)
+    at = by.place(F.col(column))
+    table = F.broadcast(by.table.select(F.col("row").alias(row), F.col("longs").alias(longs)))
+    bit = F.getbit(F.col(longs)[F.shiftright(at, 6).bitwiseAND(SIEVE_LONGS - 1).cast("int")], at.bitwiseAND(63).cast("int"))
+    yes = F.col(column).isNotNull() & F.coalesce(bit == 1, F.lit(False))
+    joined = df.withColumn(row, F.shiftright(at, 11)).join(table, row, "inner" if held else "left")
+    return joined.where(yes if held else ~yes).select(df.columns)
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def bucket(col: str | Column, n: int) -> Column:
     """crc32 of an id written as text, modulo n: the folds that the queries' contracts name."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % n
 
 
+_SHARES = 1 << 52
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_SHARES))
+
+
 def share_below(key: Column, share: float) -> Column:
-    """True for a pseudo-random share of the keys, the same on every run."""
-    return F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))
+    """True for a pseudo-random share of the keys, the same on every run; shares down to 2**-52 are told apart."""
+    return _place(key) < int(min(1.0, share) * _SHARES)
+
+
+def least_ids(n: int, most: int, rows_at: Callable[[float], DataFrame]) -> list:
+    """The distinct ids of least hash, at most so many. rows_at(share) has the id of all rows of which share_below() is true; n is about their number.
+
+    Few more ids than asked for are shuffled, however many there are; the share grows until it holds enough distinct ones.
+    """
+    share = 2 * most / max(n, 1)
+    while True:
+        ids = [r[0] for r in rows_at(share).select("id").distinct().orderBy(_place(F.col("id")), "id").limit(most).collect()]
+        if len(ids) >= most or share >= 1:
+            return ids
+        share *= 4
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -134,13 +223,18 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return own
 
 
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text") -> DataFrame:
     """mapInArrow over slices of bounded size; ``work`` returns the columns of ``schema`` by name."""
     from pyspark.sql.pandas.types import to_arrow_schema

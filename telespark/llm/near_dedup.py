@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_text, materialise, mix64, utf8
+from .common import discard, fresh, join_spread, map_text, materialise, mix64, sieve, sifted, sweep, utf8
 from .components import components
 from .superminhash import band_keys, signatures, sketches
 from .words import hashed_words, shingle_sets
@@ -38,8 +38,8 @@ FAR_BITS = 67
 NEAR_BITS = 96
 #: Members of a star that one task compares with the others.
 STAR_TASK = 400
-#: Tasks among which the pairs of one pivot are dealt.
-PIVOT_SALTS = 64
+#: Pairs of one document that one task verifies.
+PIVOT_TASK = 256
 _SKETCH = [f"s{i}" for i in range(2 * SLOTS // 64)]
 
 
@@ -70,12 +70,19 @@ def shingle_table(docs: DataFrame, words: int, text: str = "text", key: str = "d
     return map_text(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), work, "id long, items array<long>")
 
 
+def dealt(pairs: DataFrame, most: int = PIVOT_TASK) -> DataFrame:
+    """Pairs (a, b) with the tasks that the pairs of their a are dealt among, and the task of each."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("tasks", F.ceil(F.col("n") / most).cast("int"))
+    return join_spread(pairs, sizes, ["a"], "n", pairs.count()).withColumn("task", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int"))
+
+
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their sets x, y. Pairs of one a are dealt among salts; b's are spread by themselves."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(PIVOT_SALTS)))
-    wanted = salted.select("a", "salt").distinct()
-    left = wanted.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    return salted.join(left, ["a", "salt"]).join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    """Pairs (a, b), a written table, with their sets x, y. An a of many pairs is copied to each of its tasks; b's are spread by themselves."""
+    placed = dealt(pairs)
+    right = placed.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    left = placed.select("a", "tasks").distinct().join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    left = left.select("a", "x", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    return right.join(left, ["a", "task"])
 
 
 def similar(shared: Column, total: Column, percent: int) -> Column:
@@ -84,7 +91,9 @@ def similar(shared: Column, total: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = with_sets(pairs, sets)
+    """The pairs, a written table, that full sets confirm; only the sets that occur in pairs are shuffled."""
+    needed = sieve(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    both = with_sets(pairs, sifted(sets, "id", needed))
     return both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"), percent)).select("a", "b")
 
 
@@ -102,16 +111,27 @@ def star_links(stars: DataFrame, roots: DataFrame | None, percent: int) -> DataF
     With m the pivot's elements that a member lacks and e its own extra ones, two members share
     |pivot| - |m1 or m2| + |e1 and e2| elements. A star of n members is dealt among n / STAR_TASK tasks.
     """
-    labelled = labels(stars, roots)
-    open_stars = labelled.groupBy("p").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    dealt = labelled.join(open_stars.select("p", F.ceil(F.col("n") / STAR_TASK).cast("int").alias("tasks")), "p").drop("linked")
-    left = renamed(dealt.withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks"))), "l_")
-    right = dealt.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).withColumn("task", F.col("task").cast("long"))
+    labelled = labels(stars, roots).drop("linked")
+    sizes = labelled.groupBy("p").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    sizes = sizes.select("p", "m", F.ceil(F.col("m") / STAR_TASK).cast("int").alias("tasks"))
+    open_stars = join_spread(labelled, sizes, ["p"], "m", stars.count(), "inner")
     size, total = F.col("pivot_size"), F.col("n") + F.col("l_n")
     most = size - F.greatest(F.size("lacks"), F.size("l_lacks")) + F.least(F.size("extra"), F.size("l_extra"))
     shared = size - F.size(F.array_union("lacks", "l_lacks")) + F.size(F.array_intersect("extra", "l_extra"))
-    met = (F.col("l_p") == F.col("p")) & (F.col("l_task") == F.col("task")) & (F.col("l_id") < F.col("id")) & (F.col("l_c") != F.col("c"))
-    return left.join(right, met & similar(most, total, percent) & similar(shared, total, percent)).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
+    return met_pairs(open_stars, ["p"], (F.col("l_c") != F.col("c")) & similar(most, total, percent) & similar(shared, total, percent))
+
+
+def met_pairs(rows: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of one key that meet the condition, which is tested inside the join: only they leave it.
+
+    A key's rows are dealt among their ``tasks``: each is the left side of one task, and the right side of all.
+    """
+    left = renamed(rows.withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")), "l_")
+    right = rows.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    met = (F.col("l_task") == F.col("task")) & (F.col("l_id") < F.col("id")) & condition
+    for k in keys:
+        met = (F.col(f"l_{k}") == F.col(k)) & met
+    return left.join(right, met).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def labels(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -120,27 +140,50 @@ def labels(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
 
 
-def linked_classes(signs: DataFrame, classed: DataFrame, docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
-    """(id, root) of the classes' representatives that are linked with another class."""
-    usable = signs.where("id is not null and n_shingles > 0")
-    least = usable.groupBy("h0", "h1", "n_shingles").agg(F.min("id").alias("id"))
-    stand = usable.join(least.select("id", "h0", "h1"), ["id", "h0", "h1"], "left_semi")
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, text: str, key: str) -> DataFrame:
+    """(id, items), written, of the wanted ids and a few others: a sieve picks the texts where they lie, so none is shuffled."""
+    ids = fresh("_id", docs)
+    keyed = docs.withColumn(ids, F.col(key).cast("long"))
+    sets = materialise(shingle_table(sifted(keyed, ids, sieve(wanted, "id")), words, text, ids))
+    repeated = sets.groupBy("id").count().where("count > 1").select("id")
+    if repeated.isEmpty():
+        return sets
+    # repeated rows of one id: one of each set
+    again = materialise(repeated)
+    some = sieve(again, "id")
+    once = sifted(sets, "id", some, held=False).union(sifted(sets, "id", some).groupBy("id", F.xxhash64("items").alias("h")).agg(F.min("items").alias("items")).select("id", "items"))
+    made = materialise(once)
+    discard(sets)
+    return made
+
+
+def linked_classes(stand: DataFrame, classed: DataFrame, docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
+    """(id, root) of the classes' representatives that are linked with another class; stand has their keys and sketches."""
     banded = stand.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    member = materialise(banded.join(shared, "key").select("key", "id", "n"))
-    wanted = member.select("id").distinct()
-    sets = materialise(shingle_table(docs.where(F.col(key).isNotNull()).join(wanted, F.col(key) == wanted["id"], "left_semi"), words, text, key).dropDuplicates(["id", "items"]))
-    sketch = materialise(stand.join(wanted, "id", "left_semi").select("id", *_SKETCH))
+    shared = materialise(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    met = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    member = materialise(join_spread(sifted(banded, "key", sieve(shared, "key")), shared.withColumn("met", F.col("n")), ["key"], "n", met, "inner").select("key", "id", F.col("met").alias("n")))
+    discard(shared)
+    wanted = materialise(member.select("id").distinct())
+    sets = sets_of(docs, wanted, words, text, key)
+    sketch = materialise(sifted(stand, "id", sieve(wanted, "id")).select("id", *_SKETCH).distinct())
     # the classes of one doc_id's texts are one document's
     links = materialise(classed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
     roots = None if links.isEmpty() else materialise(components(links))
 
     # stars: each bucket's pivot is the member that meets most others over all its buckets
     hub = member.groupBy("id").agg(F.sum("n").alias("met"))
-    pivots = member.join(hub, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("p"))).alias("top")).select("key", (-F.col("top.p")).alias("p"))
-    starred = materialise(member.join(pivots, "key").select("key", "p", "id"))
-    near = starred.select("p", "id").distinct().where("p <> id").join(sketch, "id").join(renamed(sketch, "p_"), F.col("p") == F.col("p_id")).where(unlike_bits("p_") <= NEAR_BITS)
-    rows = with_sets(near.select(F.col("p").alias("a"), F.col("id").alias("b")), sets)
+    pivots = member.join(hub, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("p"))).alias("top"), F.max("n").alias("n")).select("key", "n", (-F.col("top.p")).alias("p"))
+    starred = materialise(join_spread(member, pivots, ["key"], "n", met, "inner"))
+    for done in (member, wanted):
+        discard(done)
+    sweep(docs.sparkSession)
+    pairs = materialise(starred.select("p", "id").distinct().where("p <> id"))
+    sizes = pairs.groupBy("p").agg(F.count("*").alias("m"))
+    pivot_sketch = sizes.join(renamed(sketch, "p_"), F.col("p") == F.col("p_id")).drop("p_id")
+    near = join_spread(pairs, pivot_sketch, ["p"], "m", pairs.count(), "inner").join(sketch, "id").where(unlike_bits("p_") <= NEAR_BITS)
+    near = materialise(near.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
+    rows = with_sets(near, sets)
     total = F.size("x") + F.size("y")
     stars = materialise(
         rows.withColumn("extra", F.array_except("y", "x")).select(
@@ -153,6 +196,9 @@ def linked_classes(signs: DataFrame, classed: DataFrame, docs: DataFrame, words:
             similar(F.size("y") - F.size("extra"), total, percent).alias("linked"),
         )
     )
+    for done in (pairs, near):
+        discard(done)
+    sweep(docs.sparkSession)
 
     def grown(found: DataFrame) -> None:
         nonlocal links, roots
@@ -165,38 +211,70 @@ def linked_classes(signs: DataFrame, classed: DataFrame, docs: DataFrame, words:
     grown(star_links(stars, roots, percent))
     # pairs of a bucket that are not both near its pivot
     labelled = labels(starred, roots)
-    apart = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    apart = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("key", "m", F.ceil(F.col("m") / STAR_TASK).cast("int").alias("tasks"))
     close = stars.select("p", "id", F.lit(True).alias("close")).distinct()
-    rest = labelled.join(apart, "key").join(close, ["p", "id"], "left").withColumn("close", F.coalesce("close", F.col("p") == F.col("id"))).join(sketch, "id")
-    met = (F.col("l_key") == F.col("key")) & (F.col("l_id") < F.col("id")) & (F.col("l_c") != F.col("c")) & ~(F.col("l_close") & F.col("close"))
-    pairs = renamed(rest, "l_").join(rest, met & (unlike_bits("l_") <= FAR_BITS)).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
-    grown(verified(materialise(pairs), sets, percent))
+    rest = join_spread(labelled, apart, ["key"], "m", met, "inner").join(close, ["p", "id"], "left").withColumn("close", F.coalesce("close", F.col("p") == F.col("id"))).join(sketch, "id")
+    rest = materialise(rest.select("key", "id", "c", "close", "tasks", *_SKETCH))
+    pairs = materialise(met_pairs(rest, ["key"], (F.col("l_c") != F.col("c")) & ~(F.col("l_close") & F.col("close")) & (unlike_bits("l_") <= FAR_BITS)))
+    for done in (rest, starred, stars, sketch):
+        discard(done)
+    grown(verified(pairs, sets, percent))
+    for done in (sets, pairs):
+        discard(done)
+    sweep(docs.sparkSession)
     return links.toDF("id", "root") if roots is None else roots
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id and kept of every row of docs."""
     signs = materialise(signed(docs, words, text, key))
-    classes = signs.where("id is not null and n_shingles > 0").groupBy("h0", "h1", "n_shingles").agg(F.min("id").alias("rep"))
-    rows = signs.select("id", "n_shingles", "h0", "h1").join(classes, ["h0", "h1", "n_shingles"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
-    rows = materialise(rows)
-    roots = linked_classes(signs, rows.where("rep is not null"), docs, words, percent, text, key)
-    discard(signs)
+    usable = signs.where("id is not null and n_shingles > 0")
+    of = ["h0", "h1", "n_shingles"]
+    classes = materialise(usable.groupBy(*of).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    narrow = usable.select("id", *of)
+    rows = join_spread(narrow, classes, of, "n", signs.count()).withColumn("rep", F.coalesce("rep", "id"))
+    # one row for each class stands for it; a copy's signature goes no further
+    copies = materialise(rows.where("id <> rep").select("id", "h0", "h1").distinct())
+    rows = materialise(rows.select("id", "n_shingles", "rep").union(signs.where("id is null or n_shingles = 0").select("id", "n_shingles", F.lit(None).cast("long").alias("rep"))))
+    some = sieve(copies, "h0")
+    wide = usable.select("id", "h0", "h1", "keys", *_SKETCH)
+    unique = sifted(wide, "h0", some, held=False).union(sifted(wide, "h0", some).join(copies, ["id", "h0", "h1"], "left_anti").select(wide.columns))
+    stand = materialise(unique.drop("h0", "h1"))
+    for done in (signs, classes, copies):
+        discard(done)
+    sweep(docs.sparkSession)
+    roots = linked_classes(stand, rows.where("rep is not null"), docs, words, percent, text, key)
+    discard(stand)
     component = F.coalesce("root", "rep", "id")
-    rows = rows.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select(F.col("id").alias(key), "n_shingles", component.alias("component_id"))
+    named = roots.select(F.col("id").alias("rep"), "root")
+    if named.isEmpty():
+        rows = rows.withColumn("root", F.lit(None).cast("long"))
+    else:
+        sizes = rows.where("rep is not null").groupBy("rep").agg(F.count("*").alias("n"))
+        rows = join_spread(rows, named.join(sizes, "rep"), ["rep"], "n", rows.count())
+    rows = rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.col(key).isNull() | (F.col(key) == F.col("component_id")))
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ``gone``, a written table of keys. Only rows that a sieve takes for gone are shuffled to make sure."""
+    held = sieve(gone, key)
+    return sifted(docs, key, held, held=False).union(sifted(docs, key, held).join(gone, key, "left_anti").select(docs.columns))
+
+
 def distinct_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group of near copies, with all its columns: the least key's, and of its repeated rows one. Rows without a key stay.
+    """One row of each group of near copies, with all its columns: the least key's. Rows without a key stay.
 
-    Only keys are shuffled to find the rows that go; the kept rows are found by an anti join with them.
+    Of rows that repeat key and text, the one with the least hash of its columns stays; rows of one key with different texts are parts of one
+    document, which stays or goes whole.
     """
     groups = near_groups(docs, words, percent, text, key)
     gone = materialise(groups.where("not kept").select(key).distinct())
+    kept = without(docs, gone, key)
     repeated = materialise(docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(key))
-    kept = docs.join(gone, key, "left_anti").select(docs.columns)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, key, "left_anti").select(docs.columns)
-    return once.union(kept.join(repeated, key, "left_semi").select(docs.columns).dropDuplicates([key]))
+    some = sieve(repeated, key)
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    one = sifted(kept, key, some).groupBy(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("s")).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    return sifted(kept, key, some, held=False).union(one.select("row.*"))
