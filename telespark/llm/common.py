@@ -218,10 +218,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after whose last batch the worker, which Spark keeps for later tasks, gives its free memory back to the system."""
+#: What operators keep in a worker between tasks, by name: how to let go of it.
+_STORES: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, let_go: Callable[[], None]) -> None:
+    """Tell that this worker keeps something between tasks; it is let go of when another operator uses the worker."""
+    _STORES[name] = let_go
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], store: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, before which the worker, which Spark keeps for later tasks, drops other operators' stores, and after which it gives free memory back."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if others := [name for name in _STORES if name != store]:
+            for name in others:
+                _STORES.pop(name)()
+            gc.collect()
+            give_back()
         yield from run(batches)
         give_back()
 
@@ -235,8 +249,8 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over slices of bounded size; ``work`` returns the columns of ``schema`` by name."""
+def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text", store: str = "") -> DataFrame:
+    """mapInArrow over slices of bounded size; ``work`` returns the columns of ``schema`` by name. ``store``: what it keeps between tasks, by keeps()."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -247,7 +261,7 @@ def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | di
             made = work(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, store), schema)
 
 
 _A, _B, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text, materialise, texts, tidy
+from .common import keeps, map_text, materialise, texts, tidy
 
 CAPACITY = 4096
 #: The id that closes each document.
@@ -44,7 +44,7 @@ SALT_ROWS = 100_000
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]|<\\|")
 #: Words of a worker whose ids are kept.
-KEPT = 600_000
+KEPT = 480_000
 
 
 def unusual(text: str) -> bool:
@@ -148,6 +148,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, close: int
 
     def work(batch: pa.RecordBatch) -> dict:
         row, piece, start, length, crc, ids = [], [], [], [], [], []
+        keeps("packing", tokenizer.cache_clear)
         for i, own in enumerate(tokenizer(path)(texts(batch))):
             own = np.append(own, np.uint32(close)).astype("<u4")
             for p, a in enumerate(range(0, len(own), capacity)):
@@ -159,7 +160,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, close: int
         return {"k": batch.column(0).take(pa.array(row, pa.int64())), "piece": piece, "start": start, "length": length, "ids_crc32": crc} | ({"ids": ids} if with_ids else {})
 
     schema = f"k {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_text(df.select(F.col(key).alias("k"), F.col(text).alias("text")), work, schema).withColumnRenamed("k", key)
+    return map_text(df.select(F.col(key).alias("k"), F.col(text).alias("text")), work, schema, store="packing").withColumnRenamed("k", key)
 
 
 class Template(NamedTuple):
