@@ -77,12 +77,15 @@ def dealt(pairs: DataFrame, most: int = PIVOT_TASK) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a written table, with their sets x, y. An a of many pairs is copied to each of its tasks; b's are spread by themselves."""
+    """Pairs (a, b), a written table, with their sets x, y. An a of many pairs is copied to each of its tasks; b's are spread by themselves.
+
+    Pairs and sets grow alike, so neither is ever broadcast: the plan is the same at every size.
+    """
     placed = dealt(pairs)
-    right = placed.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    left = placed.select("a", "tasks").distinct().join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    right = placed.join(sets.hint("merge").select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    left = placed.select("a", "tasks").distinct().join(sets.hint("merge").select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     left = left.select("a", "x", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
-    return right.join(left, ["a", "task"])
+    return right.hint("merge").join(left, ["a", "task"])
 
 
 def similar(shared: Column, total: Column, percent: int) -> Column:

@@ -720,3 +720,21 @@ def test_mixing_with_bounds_without_labels_and_empty(spark):
     labels = spark.createDataFrame([(3, 1, 0), (7, 0, 0), (11, 0, 1)], "doc_id long, quality int, toxic int")
     assert all(r.rate >= 0 for r in mixing.mix(docs, labels, {"q1t0": 1.0}).collect())
     assert mixing.mix(docs.limit(0), labels, {"q1t0": 1.0}).count() == 0
+
+
+def test_nearest_pays_where_neighbours_are_close():
+    """The share of rows that a query is compared with falls with the size, recall stays; and a table's visits are all different buckets."""
+    r = np.random.default_rng(4)
+    seen = []
+    for n in (4_000, 40_000):
+        centres = r.normal(size=(n // 40, 32))
+        rows = centres[r.integers(0, len(centres), n)] + 0.3 * r.normal(size=(n, 32))
+        got = ann.report(rows, r.choice(n, 60, replace=False))
+        assert got.recall >= 0.9
+        seen.append(got.compared)
+    assert seen[1] < 0.6 * seen[0] < 0.2
+    uniform = r.normal(size=(10_000, 64))
+    got = ann.report(uniform, r.choice(10_000, 60, replace=False))
+    assert got.recall >= 0.9 and got.compared < 1
+    who, table, bucket = ann.Hashing(64, 6, 1.0).probes(uniform[:3])
+    assert all(len(set(bucket[(who == q) & (table == t)].tolist())) == ((who == q) & (table == t)).sum() for q in range(3) for t in range(ann.TABLES))
