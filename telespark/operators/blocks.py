@@ -203,11 +203,22 @@ def from_frames(frames: DataFrame) -> DataFrame:
     return frames.select("series_id", "frame").mapInArrow(run, TABLE)
 
 
+def frame_sizes(blocks: DataFrame, config: CodecConfig) -> DataFrame:
+    """(series_id, samples, frame_bytes): how much room a frame will take, before it is written."""
+    index = 12 + 16 * F.count("*") if config.enable_index else F.lit(0)
+    return blocks.groupBy("series_id").agg(F.sum("sample_count").cast("long").alias("samples"), (F.sum("record_bytes") + HEADER_BYTES + index).alias("frame_bytes"))
+
+
+def slice_faults(blocks: DataFrame, start: int, count: int) -> DataFrame:
+    """(series_id, samples) of the series that a slice would leave; decode_slice() returns what there is."""
+    ends = blocks.groupBy("series_id").agg(F.max(F.col("start_sample") + F.col("sample_count")).alias("samples"))
+    return ends.where(F.lit(start + count) > F.col("samples"))
+
+
 def rate_faults(blocks: DataFrame, config: CodecConfig) -> DataFrame:
     """Series whose frame would exceed its rate."""
-    index = 12 + 16 * F.count("*") if config.enable_index else F.lit(0)
-    rows = blocks.groupBy("series_id").agg(F.sum("sample_count").alias("samples"), (F.sum("record_bytes") + HEADER_BYTES + index).alias("bytes"))
-    return rows.where(F.col("bytes") > F.floor(F.col("samples") * config.target_rate / 8))
+    rows = frame_sizes(blocks, config)
+    return rows.where(F.col("frame_bytes") > F.floor(F.col("samples") * config.target_rate / 8))
 
 
 __all__ = ["RateBudgetExceeded", "TABLE", "decode_blocks", "decode_series", "decode_slice", "decode_slices", "encode_blocks", "from_frames", "index_faults", "invalid_blocks", "rate_faults", "record_offsets", "to_frames"]

@@ -92,9 +92,10 @@ def decode(payloads: list[bytes], expected: np.ndarray | None, most: np.ndarray)
         if not 1 <= active <= 256 or len(p) < at + 8 * LANES:
             raise CorruptedStream("invalid entropy alphabet")
         entries = np.frombuffer(p, np.dtype([("s", "u1"), ("f", "<u2")]), active, 14)
-        if len(np.unique(entries["s"])) != active or (entries["f"] == 0).any() or int(entries["f"].astype(np.int64).sum()) != SCALE:
-            raise CorruptedStream("invalid entropy frequencies")
         f[i, entries["s"]] = entries["f"]
+        # a symbol that comes twice, or with no frequency, leaves fewer than there are entries
+        if np.count_nonzero(f[i]) != active or int(entries["f"].sum(dtype=np.int64)) != SCALE:
+            raise CorruptedStream("invalid entropy frequencies")
         lanes = np.frombuffer(p, "<u4", 2 * LANES, at).reshape(LANES, 2)
         state[i], lane_words[i], count[i] = lanes[:, 0], lanes[:, 1], total
         body = p[at + 8 * LANES :]
@@ -105,29 +106,30 @@ def decode(payloads: list[bytes], expected: np.ndarray | None, most: np.ndarray)
     flat = lane_words.ravel()
     stop = np.cumsum(flat).reshape(n, LANES)
     at = stop - lane_words
-    c = np.cumsum(f, axis=1) - f
-    table = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), f.ravel()).reshape(n, SCALE)
+    # by slot: its symbol, the symbol's frequency, and the slot's place within the symbol's
+    symbols = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), f.ravel())
+    width = np.repeat(f.ravel(), f.ravel()).astype(np.int32)
+    place = (np.tile(np.arange(SCALE), n) - np.repeat((np.cumsum(f, axis=1) - f).ravel(), f.ravel())).astype(np.int32)
     turns = -(-int(count.max()) // LANES) if n else 0
-    out = np.zeros((n, turns, LANES), np.uint8)
-    row = np.arange(n)[:, None]
+    out = np.zeros((turns, n, LANES), np.uint8)
+    base = np.arange(n)[:, None] * SCALE
     lane = np.arange(LANES)
+    whole = int(count.min()) // LANES if n else 0
     for t in range(turns):
-        live = t * LANES + lane < count[:, None]
-        slot = state & (SCALE - 1)
-        symbol = table[row, slot]
-        out[:, t] = symbol
-        new = f[row, symbol] * (state >> SCALE_BITS) + slot - c[row, symbol]
-        if (live & (new > 0xFFFFFFFF)).any():
-            raise CorruptedStream("entropy state overflow")
-        low = live & (new < LOWER)
+        slot = base + (state & (SCALE - 1))
+        symbols.take(slot, out=out[t])
+        new = width.take(slot) * (state >> SCALE_BITS) + place.take(slot)
+        live = True if t < whole else t * LANES + lane < count[:, None]
+        low = (new < LOWER) & live
         if (low & (at >= stop)).any():
             raise CorruptedStream("entropy words run out")
-        new = np.where(low, (new << 16) | pool[np.minimum(at, len(pool) - 1)], new)
-        if (live & (new < LOWER)).any():
+        new = np.where(low, (new << 16) | pool.take(at, mode="clip"), new)
+        if ((new < LOWER) & live).any():
             raise CorruptedStream("entropy words run out")
         at = at + low
-        state = np.where(live, new, state)
+        state = new if live is True else np.where(live, new, state)
     if (state != LOWER).any() or (at != stop).any():
         raise CorruptedStream("entropy states do not end as they began")
+    out = out.transpose(1, 0, 2)
     flat_out = out.reshape(n, -1)
     return [flat_out[i, : count[i]] for i in range(n)]

@@ -6,7 +6,7 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import cell_of
@@ -24,13 +24,17 @@ def quality(pairs: DataFrame, keys: list[str], original: str = "value", decoded:
 
 
 def normalise(samples: DataFrame, keys: list[str], value: str = "value", least: int = 64) -> DataFrame:
-    """value less its series' mean, over the standard deviation, else the greatest magnitude, else 1; series under ``least`` samples fail."""
-    w = Window.partitionBy(*keys)
-    c = F.col(value).cast("double") - F.avg(F.col(value).cast("double")).over(w)
-    rows = samples.withColumns({"_c": c, "_n": F.count("*").over(w), "_sd": F.stddev_pop(F.col(value).cast("double")).over(w)}).withColumn("_top", F.max(F.abs("_c")).over(w))
-    scale = F.when(F.col("_sd") > 0, F.col("_sd")).when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)
-    made = F.when(F.col("_n") >= least, (F.col("_c") / scale).cast("float")).otherwise(F.raise_error(F.lit("too few samples to normalise")).cast("float"))
-    return rows.withColumn(value, made).drop("_c", "_n", "_sd", "_top")
+    """value less its series' mean, over the standard deviation, else the greatest magnitude, else 1; series under ``least`` samples fail.
+
+    Means and deviations are aggregates, joined back: no task holds a series.
+    """
+    v = F.col(value).cast("double")
+    sums = samples.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_sd"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+    top = F.greatest(F.col("_high") - F.col("_mean"), F.col("_mean") - F.col("_low"))
+    scale = F.when(F.col("_sd") > 0, F.col("_sd")).when(top > 0, top).otherwise(1.0)
+    rows = samples.join(sums.select(*keys, "_n", "_mean", scale.alias("_scale")), keys)
+    made = F.when(F.col("_n") >= least, ((v - F.col("_mean")) / F.col("_scale")).cast("float")).otherwise(F.raise_error(F.lit("too few samples to normalise")).cast("float"))
+    return rows.withColumn(value, made).drop("_n", "_mean", "_scale")
 
 
 def peak_acceleration(samples: DataFrame, keys: list[str], sensitivity: float, value: str = "value") -> DataFrame:
@@ -38,6 +42,47 @@ def peak_acceleration(samples: DataFrame, keys: list[str], sensitivity: float, v
     return samples.groupBy(*keys).agg((F.max(F.abs(value)) / sensitivity / GRAVITY).alias("peak_g"))
 
 
+def peak_gate(samples: DataFrame, keys: list[str], sensitivity: float, least_g: float = 0.5, value: str = "value") -> DataFrame:
+    """The series whose peak acceleration is over ``least_g``."""
+    return peak_acceleration(samples, keys, sensitivity, value).where(F.col("peak_g") > least_g)
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    """Add bits_per_sample and ratio to rows of samples (float32) and bytes."""
+    return rows.withColumns({"bits_per_sample": F.col("bytes") * 8 / F.col("samples"), "ratio": F.col("samples") * 4 / F.col("bytes")})
+
+
+def lloyd_levels(samples: DataFrame, levels: list[float], rounds: int, value: str = "value") -> list[float]:
+    """Levels fitted to all samples: cells lie between the middles of neighbouring levels, and a level becomes its cell's mean; empty cells keep theirs.
+
+    A round is one aggregate of as many rows as there are levels; the driver holds the levels only.
+    """
+    now = sorted(map(float, levels))
+    v = F.col(value).cast("double")
+    for _ in range(rounds):
+        bounds = F.array(*(F.lit((a + b) / 2) for a, b in zip(now, now[1:], strict=False)))
+        means = {r["cell"]: r["level"] for r in samples.groupBy(cell_of(v, bounds).alias("cell")).agg(F.avg(v).alias("level")).collect()}
+        new = [means.get(k, x) for k, x in enumerate(now)]
+        if new == now:
+            break
+        now = new
+    return now
+
+
+def write_results(report: DataFrame, path: str, kind: str = "json") -> None:
+    """A report as JSON lines or CSV with a header; infinite and undefined numbers become null."""
+    finite = [finite_or_null(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("float", "double") else F.col(f.name) for f in report.schema]
+    writer = report.select(*finite).write.mode("overwrite")
+    writer.json(path, ignoreNullFields=False) if kind == "json" else writer.csv(path, header=True)
+
+
+def manifest(samples: DataFrame, source: str, unit: str, normalised: bool) -> DataFrame:
+    """One row for each series: where it comes from, how many samples it has and over which range, to be written beside the data."""
+    v = F.col("value").cast("double")
+    rows = samples.groupBy("series_id").agg(F.count("*").alias("samples"), F.min(v).alias("least"), F.max(v).alias("greatest"))
+    return rows.withColumns({"source": F.lit(source), "unit": F.lit(unit), "normalised": F.lit(normalised), "bytes": F.col("samples") * 4})
+
+
 def rate_distortion(reports: DataFrame) -> DataFrame:
     """Means by requested rate."""
     return reports.groupBy("rate").agg(F.avg("bits_per_sample").alias("bits_per_sample"), F.avg("psnr_db").alias("psnr_db"), F.median("psnr_db").alias("median_psnr_db"), F.max("psnr_db").alias("best_psnr_db"))

@@ -11,10 +11,14 @@ from ..config import BLOCK
 RANGES = 64
 
 
+def not_finite(value: Column) -> Column:
+    """Whether a value is null, NaN or infinite."""
+    return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+
+
 def checked(value: Column) -> Column:
-    """value, or an error where it is null, NaN or infinite."""
-    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    return F.when(bad, F.raise_error(F.lit("input contains a non-finite value")).cast("float")).otherwise(value)
+    """value, or an error where it is not finite."""
+    return F.when(not_finite(value), F.raise_error(F.lit("input contains a non-finite value")).cast("float")).otherwise(value)
 
 
 def samples(df: DataFrame, series: Column, order: Column, value: Column, *ties: Column, ranges: int = RANGES) -> DataFrame:

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..config import BETA_MAX, BETA_MIN, RATIO_POINTS, SCALE, WINDOW
+from ..config import BETA_MAX, BETA_MIN, BLOCK, RATIO_POINTS, SCALE, WINDOW
 
 BLOCK_KEY = ["series_id", "block_no"]
 
@@ -121,16 +121,23 @@ def histogram(symbols: DataFrame, keys: list[str], symbol: str = "symbol") -> Da
 
 
 def normalised_frequencies(counts: DataFrame, keys: list[str], symbol: str = "symbol") -> DataFrame:
-    """Add freq (sums to 4096 in each group) and cum (what is before a symbol).
+    """Add freq (sums to 4096 in each group) and cum (what is before a symbol). Alphabets have 256 symbols at most.
 
-    The surplus that the minimum of one takes is taken off by the symbols' rank of frequency; alphabets have 256 symbols at most.
+    What rounding down leaves goes to the largest remainders. What the minimum of one takes too much comes off the largest frequency, one at a time,
+    the smaller symbol first in ties: a symbol's frequency falls through f, f - 1, ..., so the steps of a group are ranked by the frequency
+    that they start from, and the first so many are taken.
     """
     group = Window.partitionBy(*keys)
     rows = counts.withColumn("_exact", F.col("n") / F.sum("n").over(group) * float(SCALE))
     rows = rows.withColumn("_floor", F.greatest(F.lit(1), F.floor("_exact")).cast("long"))
     rows = rows.withColumns({"_left": F.lit(SCALE) - F.sum("_floor").over(group), "_rank": F.row_number().over(group.orderBy(F.desc(F.col("_exact") - F.floor("_exact")), symbol))})
-    rows = rows.withColumn("freq", F.col("_floor") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0))
-    return rows.withColumn("cum", (F.sum("freq").over(group.orderBy(symbol)) - F.col("freq"))).drop("_exact", "_floor", "_left", "_rank")
+    most = F.when(F.col("_left") < 0, F.least(F.col("_floor") - 1, -F.col("_left"))).otherwise(0)
+    steps = F.when(most > 0, F.sequence(F.col("_floor") - most + 1, F.col("_floor"))).otherwise(F.array().cast("array<bigint>"))
+    taken = rows.select(*keys, symbol, "_left", F.explode(steps).alias("_from")).withColumn("_turn", F.row_number().over(group.orderBy(F.desc("_from"), symbol)))
+    off = taken.where(F.col("_turn") <= -F.col("_left")).groupBy(*keys, symbol).agg(F.count("*").alias("_off"))
+    rows = rows.join(off, [*keys, symbol], "left")
+    rows = rows.withColumn("freq", F.col("_floor") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0) - F.coalesce("_off", F.lit(0)))
+    return rows.withColumn("cum", (F.sum("freq").over(group.orderBy(symbol)) - F.col("freq"))).drop("_exact", "_floor", "_left", "_rank", "_off")
 
 
 def entropy_bits(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,9 +145,9 @@ def entropy_bits(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("_p", p).groupBy(*keys).agg((-F.sum(F.col("_p") * F.log2("_p"))).alias("bits"))
 
 
-def cell_of(value: Column, bounds: Column) -> Column:
-    """Cells of a sorted array of boundaries; a value on a boundary is in the upper cell."""
-    return F.size(F.filter(bounds, lambda b: b <= value))
+def cell_of(value: Column, bounds: Column, lower_ties: bool = False) -> Column:
+    """Cells of a sorted array of boundaries; a value on a boundary is in the upper cell, or (lower_ties) the lower."""
+    return F.size(F.filter(bounds, (lambda b: b < value) if lower_ties else (lambda b: b <= value)))
 
 
 def zigzag(v: Column) -> Column:
@@ -164,15 +171,44 @@ def token_runs(quanta: DataFrame) -> DataFrame:
     return made.select(*BLOCK_KEY, "start_pos", F.when(F.col("_zero"), 0).otherwise(1).alias("tag"), F.when(F.col("_zero"), F.col("_n")).otherwise(zigzag(F.col("_q").cast("long"))).alias("amount"))
 
 
-def delta_of_delta(points: DataFrame, key: str = "series_id", order: str = "ts") -> DataFrame:
-    """Add delta and dod; the first delta stands raw in dod, as a chunk writer stores it."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = points.withColumn("delta", F.col(order) - F.lag(order).over(w))
-    return rows.withColumn("dod", F.col("delta") - F.coalesce(F.lag("delta").over(w), F.lit(0)))
+def lagged(rows: DataFrame, value: str, most: int) -> DataFrame:
+    """Add value_1 to value_<most>: what a series' samples before this one (by sample_idx) hold, null before the first.
 
-
-def undo_delta_of_delta(rows: DataFrame, key: str = "series_id", order: str = "n", first: str = "first_ts") -> DataFrame:
-    """ts from first timestamps and dod, by two running sums."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_delta", F.sum(F.coalesce("dod", F.lit(0))).over(w))
-    return rows.withColumn("ts", F.col(first) + F.sum("_delta").over(w)).drop("_delta")
+    Windows are of one block; what they need of the block before is carried in as one row for each block, so no task sorts a series.
+    """
+    w = Window.partitionBy(*BLOCK_KEY).orderBy("sample_idx")
+    rows = rows.withColumn("block_no", F.expr(f"sample_idx div {BLOCK}"))
+    ends = rows.where(F.col("sample_idx") % BLOCK >= BLOCK - most).groupBy(*BLOCK_KEY).agg(*(F.max(F.when(F.col("sample_idx") % BLOCK == BLOCK - k, F.col(value))).alias(f"_end{k}") for k in range(1, most + 1)))
+    rows = rows.join(ends.withColumn("block_no", F.col("block_no") + 1), BLOCK_KEY, "left")
+    place = F.col("sample_idx") % BLOCK
+    made = {}
+    for k in range(1, most + 1):
+        carried = F.lit(None)
+        for p in range(k):  # sample p of a block: k steps back is the block before's sample k - p from its end
+            carried = F.when(place == p, F.col(f"_end{k - p}")).otherwise(carried)
+        made[f"{value}_{k}"] = F.when(place >= k, F.lag(value, k).over(w)).otherwise(carried)
+    return rows.withColumns(made).drop("block_no", *(f"_end{k}" for k in range(1, most + 1)))
+
+
+def running_sum(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Add the running sum of a column by sample_idx: within blocks, plus the sums of the blocks before, so no task sums a series."""
+    rows = rows.withColumn("block_no", F.expr(f"sample_idx div {BLOCK}"))
+    sums = rows.groupBy(*BLOCK_KEY).agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("series_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.sum(value).over(Window.partitionBy(*BLOCK_KEY).orderBy("sample_idx"))
+    joined = rows.withColumn("_own", own).join(sums.select(*BLOCK_KEY, before.alias("_before")), BLOCK_KEY)
+    return joined.withColumn(name, F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_own", "_before", "block_no")
+
+
+def delta_of_delta(points: DataFrame, order: str = "ts") -> DataFrame:
+    """Add delta and dod to points of (series_id, sample_idx); the first delta stands raw in dod, as a chunk writer stores it."""
+    rows = lagged(points, order, 2)
+    rows = rows.withColumn("delta", F.col(order) - F.col(f"{order}_1"))
+    return rows.withColumn("dod", F.col("delta") - F.coalesce(F.col(f"{order}_1") - F.col(f"{order}_2"), F.lit(0))).drop(f"{order}_1", f"{order}_2")
+
+
+def undo_delta_of_delta(rows: DataFrame, first: str = "first_ts") -> DataFrame:
+    """ts from first timestamps and dod, by two running sums over sample_idx."""
+    rows = running_sum(rows.withColumn("_dod", F.coalesce("dod", F.lit(0))), "_dod", "_delta")
+    rows = running_sum(rows, "_delta", "_after")
+    return rows.withColumn("ts", F.col(first) + F.col("_after")).drop("_dod", "_delta", "_after")

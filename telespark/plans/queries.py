@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BLOCK, CodecConfig
@@ -283,8 +283,8 @@ def zero_run_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("zigzag_leb", with_sql("E", f", d AS (SELECT ts, CAST(ts - 2 * lag(ts, 1, 0) OVER (ORDER BY ts) + lag(ts, 2, 0) OVER (ORDER BY ts) AS BIGINT) AS q FROM s), f AS (SELECT ts, q, {_FOLD} AS folded FROM d) SELECT ts, q, CAST(folded AS BIGINT) AS folded, CAST(1 + (folded >= 128)::INT + (folded >= 16384)::INT + (folded >= 2097152)::INT + (folded >= 268435456)::INT + (folded >= 34359738368)::INT + (folded >= 4398046511104)::INT + (folded >= 562949953421312)::INT + (folded >= 72057594037927936)::INT AS INTEGER) AS leb_bytes FROM f"))
 def zigzag_leb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("series_id").orderBy("ts")
-    rows = events(spark, sf_dir).select("ts", (F.col("ts") - 2 * F.lag("ts", 1, 0).over(w) + F.lag("ts", 2, 0).over(w)).alias("q"))
+    rows = stats.lagged(events(spark, sf_dir), "ts", 2)
+    rows = rows.select("ts", (F.col("ts") - 2 * F.coalesce("ts_1", F.lit(0)) + F.coalesce("ts_2", F.lit(0))).alias("q"))
     folded = stats.zigzag(F.col("q"))
     return rows.select("ts", "q", folded.alias("folded"), stats.leb_length(folded).cast("int").alias("leb_bytes"))
 
@@ -299,8 +299,9 @@ def delta_of_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dod_inverse", with_sql("Et", " SELECT series_id, CAST(sample_idx AS BIGINT) AS sample_idx, ts FROM s"))
 def dod_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stats.delta_of_delta(SERIES["Et"](spark, sf_dir)).withColumn("first_ts", F.min("ts").over(Window.partitionBy("series_id"))).drop("ts")
-    return stats.undo_delta_of_delta(rows, order="sample_idx").select("series_id", "sample_idx", "ts")
+    rows = SERIES["Et"](spark, sf_dir)
+    first = rows.where("sample_idx = 0").select("series_id", F.col("ts").alias("first_ts"))
+    return stats.undo_delta_of_delta(stats.delta_of_delta(rows).drop("ts").join(first, "series_id")).select("series_id", "sample_idx", "ts")
 
 
 @query("ts_monotonic", with_sql("Eu", _DOD + " SELECT series_id, count(*) AS points, bool_and(coalesce(delta > 0, TRUE)) AS rising FROM dd GROUP BY series_id"))
@@ -414,13 +415,17 @@ def index_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("series_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("byte_offset").isNull() | F.col("seen").isNull() | F.col("wrong").isNotNull()).alias("faults"))
 
 
-@query("codec_comparison", with_sql("O", " SELECT series_id, count(*) AS samples, TRUE AS within FROM s GROUP BY series_id"))
+_BASE = f", {_quantile_sql(3)}, base AS (SELECT series_id, count(*) AS samples, {_PSNR} AS base_psnr FROM d GROUP BY series_id)"
+
+
+@query("codec_comparison", with_sql("O", _BASE + " SELECT series_id, samples, base_psnr, TRUE AS above FROM base"))
 def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate codec beside the quantile baseline of as many bits, joined on series and rate."""
+    """The error-bounded codec beside the quantile baseline of three bits, joined on series: the baseline's PSNR, and whether the codec is above it."""
     rows = SERIES["O"](spark, sf_dir)
-    own = quality_ops.quality(rows.join(block_ops.decode_series(block_ops.encode_blocks(rows, RATED)).withColumnRenamed("value", "decoded"), ["series_id", "sample_idx"]), ["series_id"]).withColumn("rate", F.lit(3))
-    base = quality_ops.quality(quality_ops.uniform_quantile(rows, ["series_id"], 3), ["series_id"]).select("series_id", F.col("mse").alias("base_mse"), F.lit(3).alias("rate"))
-    return own.join(base, ["series_id", "rate"]).select("series_id", "samples", (F.col("mse").isNotNull() & F.col("base_mse").isNotNull()).alias("within"))
+    bounded = CodecConfig(absolute_error=100.0)
+    own = quality_ops.quality(rows.join(block_ops.decode_series(block_ops.encode_blocks(rows, bounded)).withColumnRenamed("value", "decoded"), ["series_id", "sample_idx"]), ["series_id"])
+    base = quality_ops.quality(quality_ops.uniform_quantile(rows, ["series_id"], 3), ["series_id"]).select("series_id", F.round("psnr_db", 5).alias("base_psnr"))
+    return own.join(base, ["series_id"]).select("series_id", "samples", "base_psnr", (F.col("psnr_db") > F.col("base_psnr")).alias("above"))
 
 
 # ---- sources --------------------------------------------------------------------------------------------------------------------------------------
@@ -496,3 +501,6 @@ def encode_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error-mode block table of the events series."""
     return block_ops.encode_blocks(events(spark, sf_dir), FINE).drop("payload", "levels")
+
+
+from . import formats  # noqa: E402, F401  adds its queries

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections import OrderedDict
 from typing import NamedTuple
 
 import numpy as np
@@ -153,12 +154,14 @@ def decompress(data: bytes, length: int | None = None) -> np.ndarray:
 
 
 class IndexedView:
-    """Random access to an indexed frame, which is checked once; a slice reads only the records it meets."""
+    """Random access to an indexed frame, which is checked once; a slice reads only the records it meets, and the last ``keep`` blocks stay decoded."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, keep: int = 64) -> None:
         self.data = bytes(data)
         self.header = read_header(self.data)
         self.entries = read_index(self.data, self.header)
+        self.keep = keep
+        self.recent: OrderedDict[int, np.ndarray] = OrderedDict()
 
     def __len__(self) -> int:
         return self.header.samples
@@ -169,17 +172,27 @@ class IndexedView:
         if not count:
             return np.zeros(0, np.float32)
         lo, hi = start // BLOCK, (start + count - 1) // BLOCK
+        wanted = {i: self.recent.pop(i, None) for i in range(lo, hi + 1)}
+        if missing := [i for i, x in wanted.items() if x is None]:
+            wanted.update(zip(missing, self._read(missing), strict=True))
+        self.recent.update(wanted)
+        while len(self.recent) > self.keep:
+            self.recent.popitem(last=False)
+        # a copy, so that what a caller does to it stays with the caller
+        return np.concatenate([wanted[i] for i in range(lo, hi + 1)])[start - lo * BLOCK :][:count]
+
+    def _read(self, numbers: list[int]) -> list[np.ndarray]:
         end = len(self.data) - (12 + 16 * self.header.blocks)
         found = []
-        for i in range(lo, hi + 1):
+        for i in numbers:
             body, crc, stop = record_at(self.data, self.entries[i].byte_offset, end)
             if stop != (self.entries[i + 1].byte_offset if i + 1 < len(self.entries) else end):
                 raise CorruptedStream("a record does not end where the next begins")
             found.append((body, crc))
         blocks = checked_bodies(found, bool(self.header.flags & FLAG_ERROR))
-        if [b.count for b in blocks] != [e.sample_count for e in self.entries[lo : hi + 1]]:
+        if [b.count for b in blocks] != [self.entries[i].sample_count for i in numbers]:
             raise CorruptedStream("a block's count contradicts the index")
-        return np.concatenate(decode_blocks(blocks))[start - lo * BLOCK :][:count]
+        return decode_blocks(blocks)
 
 
 def decompress_slice(data: bytes, start: int, count: int) -> np.ndarray:

@@ -128,6 +128,21 @@ def decode_mseed(data: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def encode_mseed(values: np.ndarray, power: int = 9) -> bytes:
+    """Whole samples as records of 2 ** power bytes of plain 32-bit integers, big-endian, for tests and for export."""
+    values = np.asarray(values)
+    if values.ndim != 1 or not np.array_equal(values, values.astype(np.int32)):
+        raise ValueError("one-dimensional 32-bit integers are needed")
+    room = ((1 << power) - 64) // 4
+    out = []
+    for number, a in enumerate(range(0, len(values), room)):
+        part = values[a : a + room].astype(">i4")
+        head = struct.pack(">6sBB5s2s3s2sHHBBBBHHhhBBBBiHH", b"%06d" % (number % 1_000_000), ord("D"), 32, b"TEL  ", b"  ", b"BHZ", b"XX", 2020, 1, 0, 0, 0, 0, 0, len(part), 1, 1, 0, 0, 0, 1, 0, 64, 48)
+        record = head + struct.pack(">HHBBBB", 1000, 0, 3, 1, power, 0) + bytes(8) + part.tobytes()
+        out.append(record + bytes((1 << power) - len(record)))
+    return b"".join(out)
+
+
 READERS = {"mseed": decode_mseed, "npy": lambda d: np.load(io.BytesIO(d), allow_pickle=False), "f32": lambda d: np.frombuffer(d, "<f4")}
 
 

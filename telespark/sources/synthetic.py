@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BLOCK
+from ..operators.stats import running_sum
 
 _UNIT = 1 << 30
 
@@ -58,15 +58,6 @@ def normal(index: Column, seed: int, deviation: float | Column) -> Column:
     return F.sqrt(-2.0 * F.ln(uniform(index, seed))) * F.cos(2 * math.pi * uniform(index, seed + 1)) * deviation
 
 
-def walk(rows: DataFrame, step: Column) -> DataFrame:
-    """Add walk, the running sum of step by sample_idx: within blocks, plus the sums of the blocks before, so no task sums a whole series."""
-    rows = rows.withColumns({"_step": step, "_block": F.expr(f"sample_idx div {BLOCK}")})
-    sums = rows.groupBy("series_id", "_block").agg(F.sum("_step").alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("series_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_sum")
-    own = F.sum("_step").over(Window.partitionBy("series_id", "_block").orderBy("sample_idx"))
-    return rows.withColumn("_own", own).join(before, ["series_id", "_block"]).withColumn("walk", F.col("_own") + F.col("_before")).drop("_step", "_block", "_own", "_before")
-
-
 def trace(spark: SparkSession, kind: str, count: int, seed: int = 1, recipe: Recipe | None = None) -> DataFrame:
     """(series_id, sample_idx, value) by a recipe, or that of one of KINDS."""
     made = recipe or RECIPES.get(kind)
@@ -85,6 +76,6 @@ def trace(spark: SparkSession, kind: str, count: int, seed: int = 1, recipe: Rec
     if made.shock_every:
         value = value + F.when(uniform(i, seed + 2) * made.shock_every < 1, (2.0 * uniform(i, seed + 3) - 1.0) * made.shock).otherwise(0.0)
     if made.wander:
-        rows = walk(rows, normal(i, seed + 4, made.wander))
+        rows = running_sum(rows.withColumn("_step", normal(i, seed + 4, made.wander)), "_step", "walk")
         value = value + F.col("walk")
     return rows.select("series_id", "sample_idx", value.cast("float").alias("value"))
