@@ -5,8 +5,9 @@ language is a probability for each piece; a word's probability is the sum over a
 probabilities, by a forward algorithm. Expectation-maximisation (forward-backward over all segmentations) fits the pieces' probabilities
 to word counts of a bounded sample: about PER_LANGUAGE documents of each language, chosen by hash of doc_id.
 
-The forward algorithm runs over many different words at once: positions outside, words inside. A word of over LONGEST letters
-is cut into spans of that many, each scored by itself, so no text is left out.
+The forward algorithm runs over many different words at once: positions outside, words inside. All pieces of the vocabulary take part, and
+words of any length are scored whole: where probabilities get small, the last positions are scaled up and the scale is kept aside. Only the
+fit takes words of over SPAN letters (from the bounded sample) in spans of that many.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without training rows every text with letters is ``und``
 too; ties go to the language that sorts first; repeated rows give repeated results; an empty table gives an empty table; other columns are ignored.
@@ -30,9 +31,10 @@ from .common import bucket, map_text, share_below, stream64, texts
 PER_LANGUAGE = 1_500
 FOLDS, HELD_OUT = 3, 1
 ROUNDS = 3
-LONGEST = 40
-#: Longest piece in use, in characters with the word mark.
-PIECE = 10
+#: Letters of a word that the fit takes at once.
+SPAN = 40
+#: Characters of words, padding included, that are scored at once.
+CELLS = 400_000
 MARK = "▁"
 #: Different words of a worker whose scores are kept; the store is emptied when it is full.
 KEPT = 600_000
@@ -50,17 +52,17 @@ class Lattice(NamedTuple):
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of the vocabulary's lower-cased letter pieces, their indexes, and how many; one more index stands for any other character."""
+def pieces(path: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sorted hashes of the vocabulary's lower-cased letter pieces, their indexes, how many, and the longest's characters; one more index stands for any other character."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    kept = {p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i).lower()).strip(MARK).isalpha() and len(p) <= PIECE}
+    kept = {p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i).lower()).strip(MARK).isalpha()}
     names = sorted(kept | {MARK})
     chars, length = padded(names)
     hashes = prefix_hashes(chars)[length, np.arange(len(names))]
     order = np.argsort(hashes)
-    return hashes[order], order, len(names)
+    return hashes[order], order, len(names), max(map(len, names))
 
 
 def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +88,13 @@ def prefix_hashes(chars: np.ndarray) -> np.ndarray:
 
 
 def lattice(words: list[str], path: str) -> Lattice:
-    hashes, order, n = pieces(path)
+    hashes, order, n, longest = pieces(path)
     chars, length = padded(words)
     prefix = prefix_hashes(chars)
     top = chars.shape[0]
-    out = np.full((min(PIECE, top), top, len(words)), -1, np.int32)
+    out = np.full((min(longest, top), top, len(words)), -1, np.int32)
     power = np.ones(1, np.uint64)
-    for k in range(1, min(PIECE, top) + 1):
+    for k in range(1, min(longest, top) + 1):
         power = power * _STEP
         h = prefix[k:] - prefix[:-k] * power
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
@@ -105,42 +107,62 @@ def lattice(words: list[str], path: str) -> Lattice:
     return Lattice(out, length)
 
 
-def forward(lat: Lattice, p: np.ndarray) -> np.ndarray:
-    """[position, word, language]: the summed probability of all segmentations of each beginning."""
+_TINY, _LIFT = 1e-100, 1e100
+
+
+def forward(lat: Lattice, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[position, word, language]: the summed probability of all segmentations of each beginning; and the logarithms of the whole words'.
+
+    Positions are scaled in batches with words of over SPAN letters only, so what the fit reads of them is not.
+    """
     k_max, top, words = lat.piece.shape
     padded_p = np.vstack([p, np.zeros((1, p.shape[1]))])  # index -1: no piece
     a = np.zeros((top + 1, words, p.shape[1]))
     a[0] = 1
+    scale, whole = np.zeros(a.shape[1:]), np.zeros(a.shape[1:])
     for j in range(1, top + 1):
         for k in range(1, min(k_max, j) + 1):
             own = lat.piece[k - 1, j - 1]
             if (some := np.flatnonzero(own >= 0)).size:
                 a[j, some] += a[j - k, some] * padded_p[own[some]]
-    return a
+        if (done := np.flatnonzero(lat.length == j)).size:
+            whole[done] = np.log(np.maximum(a[j, done], 1e-300)) + scale[done]
+        if j % 8 == 0 and SPAN + 1 < top:
+            last = a[max(0, j - k_max + 1) : j + 1]
+            low = (a[j] < _TINY) & (a[j] > 0)
+            if low.any():
+                last[:, low] *= _LIFT
+                scale[low] -= np.log(_LIFT)
+    return a, whole
+
+
+def batches(words: list[str]) -> list[list[int]]:
+    """Numbers of the words, shortest first, in batches of about CELLS characters with padding."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if not out or len(out[-1]) >= 20_000 or (len(out[-1]) + 1) * (len(words[i]) + 1) > CELLS:
+            out.append([])
+        out[-1].append(i)
+    return out
 
 
 def log_scores(words: list[str], p: np.ndarray, path: str) -> np.ndarray:
     """[word, language] log-probabilities."""
     out = np.zeros((len(words), p.shape[1]))
-    spans = [(i, w[a : a + LONGEST]) for i, w in enumerate(words) for a in range(0, len(w), LONGEST)]
-    spans.sort(key=lambda x: len(x[1]))
-    for a in range(0, len(spans), 20_000):
-        part = spans[a : a + 20_000]
-        lat = lattice([MARK + w for _, w in part], path)
-        made = forward(lat, p)[lat.length, np.arange(len(part))]
-        np.add.at(out, [i for i, _ in part], np.log(np.maximum(made, 1e-300)))
+    for some in batches(words):
+        out[some] = forward(lattice([MARK + words[i] for i in some], path), p)[1]
     return out
 
 
 def expected_counts(words: list[str], count: np.ndarray, p: np.ndarray, path: str) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words, so often as they occur; p is of one language."""
     total = np.zeros(len(p))
-    spans = [(i, w[a : a + LONGEST]) for i, w in enumerate(words) for a in range(0, len(w), LONGEST)]
+    spans = [(i, w[a : a + SPAN]) for i, w in enumerate(words) for a in range(0, len(w), SPAN)]
     spans.sort(key=lambda x: len(x[1]))
     for s in range(0, len(spans), 20_000):
         part = [i for i, _ in spans[s : s + 20_000]]
         lat = lattice([MARK + w for _, w in spans[s : s + 20_000]], path)
-        a = forward(lat, p[:, None])[:, :, 0]
+        a = forward(lat, p[:, None])[0][:, :, 0]
         k_max, top, n = lat.piece.shape
         b = np.zeros((top + 1, n))
         b[lat.length, np.arange(n)] = 1

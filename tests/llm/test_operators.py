@@ -511,14 +511,14 @@ def test_forward_sums_all_segmentations():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=p)
-    names = sorted({x for i in range(sp.get_piece_size()) if (x := sp.id_to_piece(i).lower()).strip("▁").isalpha() and len(x) <= language_id.PIECE} | {"▁"})
+    names = sorted({x for i in range(sp.get_piece_size()) if (x := sp.id_to_piece(i).lower()).strip("▁").isalpha()} | {"▁"})
     index = {x: i for i, x in enumerate(names)}
 
     def every(w):
         if not w:
             return 1.0
         out = 0.0
-        for k in range(1, min(len(w), language_id.PIECE) + 1):
+        for k in range(1, len(w) + 1):
             i = index.get(w[:k], n - 1 if k == 1 else None)
             out += 0 if i is None else prob[i, 1] * every(w[k:])
         return out
@@ -528,9 +528,74 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [math.log(every("▁" + w)) for w in some])
 
 
+def test_words_of_any_length_are_summed_whole():
+    """Words of 90 and 3,000 letters, whose probabilities no float holds, against the sum over all segmentations in logarithms."""
+    import sentencepiece
+
+    p = path("piece_bpe_32k.model")
+    n = language_id.pieces(p)[2] + 1
+    prob = np.random.default_rng(3).random((n, 2)) ** 4
+    prob /= prob.sum(axis=0)
+    sp = sentencepiece.SentencePieceProcessor(model_file=p)
+    names = sorted({x for i in range(sp.get_piece_size()) if (x := sp.id_to_piece(i).lower()).strip("▁").isalpha()} | {"▁"})
+    index = {x: i for i, x in enumerate(names)}
+    longest = max(map(len, names))
+    assert longest > 12 and len(names) == n - 1
+
+    def log_sum(w, lang):
+        out = [0.0] + [-np.inf] * len(w)
+        for j in range(1, len(w) + 1):
+            for k in range(1, min(longest, j) + 1):
+                i = index.get(w[j - k : j], n - 1 if k == 1 else None)
+                if i is not None:
+                    out[j] = np.logaddexp(out[j], out[j - k] + math.log(prob[i, lang]))
+        return out[-1]
+
+    letters = np.random.default_rng(4).choice(list("etaoinshrdé"), 3000)
+    words_ = ["haus", "nevertheless" * 8, "".join(letters[:90]), "".join(letters), "x" * 41, "apparently"]
+    got = language_id.log_scores(words_, prob, p)
+    assert np.allclose(got, [[log_sum("▁" + w, lang) for lang in (0, 1)] for w in words_], rtol=1e-9)
+
+
+def test_small_shares_of_many_rows(spark):
+    from telespark.llm.common import least_ids, share_below
+
+    rows = spark.range(200_000)
+    assert rows.where(share_below(rows.id, 1e-3)).count() in range(120, 290)
+    import pyspark.sql.functions as F
+
+    # shares far below 2**-20 still choose something of a table as large as they are small
+    assert "4503599" in str(rows.select(share_below(F.col("id"), 1e-9).alias("x"))._jdf.queryExecution().toString())
+    ids = least_ids(200_000, 50, lambda share: rows.union(rows).where(share_below(F.col("id"), share)))
+    assert len(set(ids)) == 50 and set(ids) == set(least_ids(10, 50, lambda share: rows.where(share_below(F.col("id"), share))))
+
+
+def test_toxicity_risk_against_differences():
+    """The gradient against differences of the risk, written out plainly; and its sign where the clean risk is negative."""
+    r = np.random.default_rng(6)
+    positive = np.arange(40) < 12
+
+    def plain(f, prior):
+        loss = lambda z, y: math.log(1 + math.exp(-y * z))
+        pos, un = [z for z, t in zip(f, positive, strict=True) if t], [z for z, t in zip(f, positive, strict=True) if not t]
+        clean = sum(loss(z, -1) for z in un) / len(un) - prior * sum(loss(z, -1) for z in pos) / len(pos)
+        return prior * sum(loss(z, 1) for z in pos) / len(pos) + max(0.0, clean), clean
+
+    for shift, negative in ((0.0, False), (6.0, True)):
+        f = r.normal(size=40) + np.where(positive, shift, -shift)
+        value, clean, g = toxicity.risk(f, positive, 0.3)
+        assert np.allclose((value, clean), plain(f, 0.3)) and (clean < 0) == negative
+        for i in range(40):
+            up, down = f.copy(), f.copy()
+            up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+            at = 1 if negative else 0
+            slope = (plain(up, 0.3)[at] - plain(down, 0.3)[at]) / 2e-5
+            assert np.isclose(g[i], -slope if negative else slope, atol=1e-8)
+
+
 def test_expectation_maximisation_raises_likelihood():
     p = path("piece_bpe_32k.model")
-    counts = {"x": {"haus": 5, "hausen": 3, "maus": 2, "e" * 90: 1}}
+    counts = {"x": {"haus": 5, "hausen": 3, "maus": 2, "e" * 38: 1}}
     last = -np.inf
     for rounds in (1, 2, 4):
         m = language_id.fit_pieces(counts, p, {"x": 1}, rounds, 1e-9)

@@ -77,3 +77,32 @@ def test_queries_have_their_columns(spark):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
     sql = sorted(con.sql(ORACLE_SQL["op7_url_filter"]).fetchall())
     assert sql == sorted(tuple(r) for r in QUERIES["op7_url_filter"](spark, SF).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_stages_with_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, a shared doc_id, columns with names that stages use, and no rows at all."""
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, p string, n int, key string, h0 string, keys int, score string, rate string, copies int, posterior string, _chance int, _row int, _longs int, piece string, length string"
+    rest = (1, "p", 2, "k", "h", 3, "s", "r", 4, "q", 5, 6, 7, "c", "l")
+    texts = [None, "", " \t", "one plain document about rivers and towns", "a few other words", "long text of many words " * 30_000, "password = hunter2hunter2 here", "x" * 50_000]
+    rows = [(i, t, None if i % 2 else "en", None, None if t is None else len(t), *rest) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, "a row without an id", None, None, 19, *rest), (None, None, None, None, None, *rest), (4, "quite another text under the same id", None, None, 36, *rest)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for table in (docs, docs.limit(0)):
+        for name, stage in P.STAGES:
+            out = stage(spark, table, SF)
+            got = out.collect()
+            if name == "packing":
+                assert sum(r.piece == 0 for r in got) == table.count()
+                continue
+            assert out.schema.names == table.schema.names and out.dtypes == table.dtypes, name
+            if table is not docs:
+                assert not got
+            elif name == "near_dedup":
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted([*((False, i) for i in range(8)), (False, 4), (True, 0), (True, 0)])
+            elif name == "secrets":
+                assert len(got) == len(rows) and {r.text for r in got if r.doc_id == 6} == {"[SECRET] here"}
+            else:
+                assert {r.doc_id for r in got} >= {0, 1, 3}
