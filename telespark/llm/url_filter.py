@@ -8,7 +8,7 @@ A rule (host, path) fits the host, all its subdomains, and paths that begin with
 suffixes joined with as many first characters of its path as any rule has; the longest confirmed key wins (then the
 longer host). URLs without a rule are blocked if the list of blocked URLs holds them whole, and else allowed.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed; an empty
+Defined cases: equal rules count once, and two verdicts for one rule are an error; a null url, or one without ``://``, has an empty host and path, no rule, and is allowed; an empty
 table gives an empty table; repeated rows give repeated results; other columns are ignored.
 """
 
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import map_text, write_shared
 
-MAGIC = b"DIGARR1\0"
+MAGIC = b"DIGARR2\0"
+#: Verdicts by the byte that the file has for a rule.
+VERDICTS = ("allow", "block")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,14 +44,15 @@ def digests(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
 
 
-def pack(keys: Iterable[str]) -> bytes:
-    """The file's bytes: magic, number of keys, digests in order, offsets, strings in the digests' order."""
-    raw = sorted({k.encode() for k in keys})
-    d = digests(raw)
+def pack(keys: Iterable[str] | dict[str, int]) -> bytes:
+    """The file's bytes: magic, number of keys, digests in order, offsets, a byte for each key (0 if none is given), strings in the digests' order."""
+    values = keys if isinstance(keys, dict) else dict.fromkeys(keys, 0)
+    raw = sorted((k.encode(), v) for k, v in values.items())
+    d = digests([k for k, _ in raw])
     order = np.lexsort((np.arange(len(raw)), d))
     raw = [raw[i] for i in order]
-    offsets = np.cumsum([0, *map(len, raw)]).astype("<u8")
-    return MAGIC + struct.pack("<Q", len(raw)) + d[order].astype("<u8").tobytes() + offsets.tobytes() + b"".join(raw)
+    offsets = np.cumsum([0, *(len(k) for k, _ in raw)]).astype("<u8")
+    return MAGIC + struct.pack("<Q", len(raw)) + d[order].astype("<u8").tobytes() + offsets.tobytes() + bytes(v for _, v in raw) + b"".join(k for k, _ in raw)
 
 
 class DigestArray:
@@ -62,7 +65,8 @@ class DigestArray:
         n = int(data[8:16].view("<u8")[0])
         self.digests = data[16 : 16 + 8 * n].view("<u8")
         self.offsets = data[16 + 8 * n : 24 + 16 * n].view("<u8")
-        self.blob = data[24 + 16 * n :]
+        self.values = data[24 + 16 * n : 24 + 17 * n]
+        self.blob = data[24 + 17 * n :]
 
     def find(self, keys: list[bytes], own: np.ndarray | None = None) -> np.ndarray:
         """For each key its place in the list, or -1. ``own`` are its digests, where a test wants collisions."""
@@ -82,7 +86,7 @@ class DigestArray:
         return out
 
 
-def publish(spark: SparkSession, keys: Iterable[str]) -> str:
+def publish(spark: SparkSession, keys: Iterable[str] | dict[str, int]) -> str:
     """Hand the list to all executors; the name to open there. Equal lists are handed out once."""
     data = pack(keys)
     name = f"digests-{xxhash.xxh3_128_hexdigest(data)}.bin"
@@ -114,12 +118,15 @@ def suffixes(host: str) -> list[str]:
 def judge(df: DataFrame, rules: list[Rule], blocked_urls: Iterable[str] = (), url: str = "url", key: str = "page_id") -> DataFrame:
     """key, host, path, rule and verdict of every row."""
     spark = df.sparkSession
-    of = {(r.host + r.path): r for r in rules}
+    # a key says where its host ends; its verdict is in the file too, so tasks carry nothing that grows with the list
+    verdicts: dict[str, int] = {}
+    for r in rules:
+        if verdicts.setdefault(f"{r.host}\0{r.path}", VERDICTS.index(r.verdict)) != VERDICTS.index(r.verdict):
+            raise ValueError(f"two verdicts for {r.host}{r.path}")
     blocked = list(blocked_urls)
-    rule_file = publish(spark, of)
+    rule_file = publish(spark, verdicts)
     list_file = publish(spark, blocked) if blocked else None
     widths = sorted({len(r.path) for r in rules})
-    # a key alone doesn't tell where its host ends, so a probe counts only with the rule's own split
     kind = df.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -134,17 +141,16 @@ def judge(df: DataFrame, rules: list[Rule], blocked_urls: Iterable[str] = (), ur
                     if w <= len(p):
                         probes.append((s, p[:w]))
                         owner.append(i)
-        best: dict[int, tuple[int, int, str]] = {}
-        found = array.find([(s + p).encode() for s, p in probes])
+        best: dict[int, tuple[int, int, str, int]] = {}
+        found = array.find([f"{s}\0{p}".encode() for s, p in probes])
         for j in np.flatnonzero(found >= 0).tolist():
             s, p = probes[j]
-            if of[s + p].host == s:
-                best[owner[j]] = max(best.get(owner[j], (0, 0, "")), (len(s) + len(p), len(s), s + p))
+            best[owner[j]] = max(best.get(owner[j], (0, 0, "", 0)), (len(s) + len(p), len(s), s + p, int(array.values[found[j]])))
         listed = np.full(len(urls), -1)
         if list_file:
             listed = opened(SparkFiles.get(list_file)).find([(u or "").encode() for u in urls])
         rule = [best[i][2] if i in best else None for i in range(len(urls))]
-        verdict = [of[r].verdict if r is not None else "block" if hit >= 0 else "allow" for r, hit in zip(rule, listed, strict=True)]
+        verdict = [VERDICTS[best[i][3]] if i in best else "block" if hit >= 0 else "allow" for i, hit in enumerate(listed)]
         return {"k": batch.column(0), "host": batch.column(2), "path": batch.column(3), "rule": rule, "verdict": verdict}
 
     ready = split_url(df.select(F.col(key).alias("k"), F.col(url).alias("url"))).select("k", "url", "host", "path")
