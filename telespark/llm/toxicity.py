@@ -8,7 +8,7 @@ left, the risk on clean documents, is not let below zero; where it would be, the
 The training sample is bounded: at most POSITIVES toxic and UNLABELLED unlabelled documents of the training folds, least
 hash of doc_id first. A word that no unlabelled one of them has keeps its weight, which decay bounds: it may be used in toxic documents only. The prior is the toxic share of the labelled rows of the training folds. Everything else covers all documents.
 
-Defined cases: a null or empty text gets the score of no words; repeated rows give repeated results; several labels of one doc_id
+Defined cases: a null or empty text gets the score of no words; a score of exactly 0.5 is toxic; repeated rows give repeated results; several labels of one doc_id
 count as toxic if one is; null labels are no labels; without any toxic or unlabelled training document every score is the prior
 (0 without labels); an empty table gives an empty table; other columns are ignored; whole texts are scored, however long.
 """
@@ -64,6 +64,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def risk(f: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The non-negative risk of scores f with the logistic loss, the risk on clean documents that it holds, and the step's gradient by f.
+
+    Where the clean risk is below zero, the gradient is that of its negative, which leads it back up.
+    """
+    n_pos, n_un = int(positive.sum()), int((~positive).sum())
+    s, as_clean = sigmoid(f), np.logaddexp(0, f)
+    clean_risk = float(as_clean[~positive].mean() - prior * as_clean[positive].mean())
+    value = prior * float(np.logaddexp(0, -f[positive]).mean()) + max(0.0, clean_risk)
+    clean = np.where(positive, -prior * s / n_pos, s / n_un)
+    return value, clean_risk, clean + np.where(positive, -prior * (1 - s) / n_pos, 0) if clean_risk >= 0 else -clean
+
+
 def train(index: np.ndarray, bounds: np.ndarray, positive: np.ndarray, prior: float, bits: int = BITS, rounds: int = 300, rate: float = 0.01, decay: float = 1e-3) -> Model:
     """Adam on the non-negative risk with the logistic loss, over rows of distinct buckets; the mean of the later half's iterates."""
     seen = np.bincount(index, minlength=1 << bits)
@@ -83,11 +96,7 @@ def train(index: np.ndarray, bounds: np.ndarray, positive: np.ndarray, prior: fl
     m1, m2, v1, v2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         f = sums(w[column], ends) + b
-        s = sigmoid(f)
-        as_clean = np.logaddexp(0, f)
-        clean_risk = as_clean[~positive].mean() - prior * as_clean[positive].mean()
-        clean = np.where(positive, -prior * s / n_pos, s / n_un)
-        g = clean + np.where(positive, -prior * (1 - s) / n_pos, 0) if clean_risk >= 0 else -clean
+        g = risk(f, positive, prior)[2]
         gw = np.bincount(column, weights=g[row], minlength=len(w)) + decay * w
         gb = float(g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * gw, 0.999 * m2 + 0.001 * gw * gw
