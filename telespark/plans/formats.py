@@ -15,7 +15,7 @@ from ..operators import blocks as block_ops
 from ..operators import quality as quality_ops
 from ..operators import stats
 from ..session import ready
-from .queries import _BOUNDS, _CELLS, _LEVELS, _REQUESTS, BLOCK_KEY, RATED, SERIES, _holds, orders, over, query, with_sql
+from .queries import _BOUNDS, _CELLS, _LEVELS, _REQUESTS, BLOCK_KEY, RATED, SERIES, WHOLE, _holds, orders, over, query, with_sql
 
 #: Fixed value: what a CRC32-C gives over a string followed by its own checksum, lowest byte first.
 RESIDUE = 0x48674BC7
@@ -117,9 +117,9 @@ def indexed_view_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("frame_size_probe", _holds("Et"))
 def frame_size_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of each series' frame, told from the block table, against the frame that is written."""
-    made = block_ops.encode_blocks(SERIES["Et"](spark, sf_dir), RATED)
-    told = block_ops.frame_sizes(made, RATED)
-    return told.join(block_ops.to_frames(made, RATED), "series_id").select("series_id", "samples", (F.col("frame_bytes") == F.octet_length("frame")).alias("holds"))
+    made = block_ops.encode_blocks(SERIES["Et"](spark, sf_dir), WHOLE)
+    told = block_ops.frame_sizes(made, WHOLE)
+    return told.join(block_ops.to_frames(made, WHOLE), "series_id").select("series_id", "samples", (F.col("frame_bytes") == F.octet_length("frame")).alias("holds"))
 
 
 # ---- refusals -------------------------------------------------------------------------------------------------------------------------------
@@ -163,7 +163,7 @@ def frame_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
                         refused.append(True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(DAMAGE)), pa.array(refused)], names=["damage", "refused"])
 
-    made = frames("Et", spark, sf_dir).mapInArrow(run, "damage string, refused boolean")
+    made = frames("Et", spark, sf_dir, WHOLE).mapInArrow(run, "damage string, refused boolean")
     return made.groupBy("damage").agg(F.count("*").alias("frames"), F.count_if("refused").alias("refused"))
 
 

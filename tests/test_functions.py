@@ -118,3 +118,52 @@ def test_entropy_rejects_every_truncation_and_finds_flips():
         except CorruptedStream:
             continue
         assert len(got) == 300
+
+
+def test_code_books():
+    from telespark.operators.quantizer import CodeBook, Sorted, best_of, cell_symbols, quantize, symbols_of_cells
+
+    r = np.random.default_rng(2)
+    x = r.laplace(size=5000)
+    plain, coded = CodeBook(x, 8), CodeBook(x, 8, weight=0.3)
+    loss = lambda b: np.mean((x - b.dequantize(b.quantize(x))) ** 2)
+    bits = lambda b: -sum(p * np.log2(p) for p in np.bincount(b.quantize(x)) / len(x) if p)
+    uniform = np.linspace(x.min(), x.max(), 9)
+    middles = 0.5 * (uniform[1:] + uniform[:-1])
+    assert loss(plain) < np.mean((x - middles[np.clip(np.searchsorted(uniform, x) - 1, 0, 7)]) ** 2) and bits(coded) < bits(plain) and loss(coded) > loss(plain)
+    # at the optimum boundaries are the middles of the levels, and levels the means of their cells
+    assert np.allclose(plain.bounds, 0.5 * (plain.levels[1:] + plain.levels[:-1]), atol=0.02)
+    smooth = plain.polynomial()
+    assert (plain.polynomial_cell(x, smooth) == plain.quantize(x)).all()
+    on = plain.bounds[2]
+    assert quantize(np.array([on]), plain.bounds) == 3 and quantize(np.array([on]), plain.bounds, lower_ties=True) == 2
+    assert symbols_of_cells(5).tolist() == [1, 2, 0, 3, 4] and sorted(cell_symbols(np.arange(7), np.int64(7))) == list(range(7))
+    for bad in (lambda: CodeBook(x, 1), lambda: CodeBook([np.nan], 4), lambda: CodeBook(x, 2).polynomial()):
+        with pytest.raises(ValueError):
+            bad()
+    # cells by prefix sums against counting
+    rows = r.normal(size=(3, 400))
+    data = Sorted(rows)
+    edges = np.sort(r.normal(size=(3, 6)), axis=1)
+    count, total = data.cells(edges)
+    for i in range(3):
+        cell = np.searchsorted(edges[i], rows[i], side="right")
+        assert count[i].tolist() == np.bincount(cell, minlength=7).tolist() and np.allclose(total[i], np.bincount(cell, weights=rows[i], minlength=7))
+    made, cost = best_of(data, np.full(3, 400.0), 3.0, 0.3, (0.0, 0.25), np.full(3, 178.0))
+    assert (cost.bytes <= 400).all() and (made.cells % 2 == 1).all()
+
+
+def test_checksums_of_all_lengths():
+    from telespark.functions.checksum import crc32c, crc32c_many
+
+    def plain(data):
+        state = 0xFFFFFFFF
+        for byte in data:
+            state ^= byte
+            for _ in range(8):
+                state = (state >> 1) ^ (0x82F63B78 if state & 1 else 0)
+        return state ^ 0xFFFFFFFF
+
+    r = np.random.default_rng(1)
+    strings = [r.integers(0, 256, n, dtype=np.uint8).tobytes() for n in [*range(0, 140), 1000, 4095, 4096, 4097]]
+    assert crc32c_many(strings).tolist() == list(map(plain, strings)) and crc32c(b"123456789") == 0xE3069283 and not len(crc32c_many([]))

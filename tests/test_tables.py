@@ -157,3 +157,29 @@ def test_streams(spark, tmp_path):
     assert out.exception() is None
     got = [v for r in spark.table("samples").orderBy("seq").collect() for v in r["values"]]
     assert np.array(got, np.float32).tobytes() == want
+
+
+def test_results_and_manifest(spark, tmp_path):
+    from telespark.operators import quality
+
+    rows = spark.createDataFrame([("a", i, float(i)) for i in range(100)], "series_id string, sample_idx long, value float")
+    report = quality.quality(rows.withColumn("decoded", F.col("value")), ["series_id"])
+    assert report.first()["psnr_db"] == float("inf")
+    for kind in ("json", "csv"):
+        quality.write_results(report, str(tmp_path / kind), kind)
+    assert spark.read.json(str(tmp_path / "json")).first()["samples"] == 100 and '"psnr_db":null' in next((tmp_path / "json").glob("part-*")).read_text()
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).first()["psnr_db"] is None
+    made = quality.manifest(rows, "here", "g", False).first()
+    assert (made["samples"], made["least"], made["greatest"], made["bytes"], made["source"]) == (100, 0.0, 99.0, 400, "here")
+
+
+def test_lags_and_sums_across_blocks(spark):
+    r = np.random.default_rng(1)
+    n = 2 * BLOCK + 3
+    for size in (1, 2, BLOCK, BLOCK + 1, n):
+        x = r.integers(-9, 9, size).tolist()
+        rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "series_id string, sample_idx long, v long").repartition(3)
+        got = sorted(stats.lagged(rows, "v", 2).select("sample_idx", "v_1", "v_2").collect())
+        assert [(g.v_1, g.v_2) for g in got] == [(x[i - 1] if i else None, x[i - 2] if i > 1 else None) for i in range(size)]
+        sums = sorted(stats.running_sum(rows, "v", "total").select("sample_idx", "total").collect())
+        assert [s.total for s in sums] == np.cumsum(x).tolist()
