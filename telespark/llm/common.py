@@ -249,15 +249,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text", store: str = "") -> DataFrame:
-    """mapInArrow over slices of bounded size; ``work`` returns the columns of ``schema`` by name. ``store``: what it keeps between tasks, by keeps()."""
+def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text", store: str = "", most: int = STEP_BYTES) -> DataFrame:
+    """mapInArrow over slices of about ``most`` bytes; ``work`` returns the columns of ``schema`` by name. ``store``: what it keeps between tasks, by keeps()."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, column):
+        for part in steps(batches, column, most):
             made = work(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 

@@ -45,6 +45,8 @@ WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]|<\\|")
 #: Words of a worker whose ids are kept.
 KEPT = 480_000
+#: Bytes of text that are tokenised at once.
+STEP = 1 << 20
 
 
 def unusual(text: str) -> bool:
@@ -115,20 +117,32 @@ class Codes(dict):
         return code
 
 
+def roomy(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy of twice its length at least, with room for n values: growing costs what is added, not what is there."""
+    if n <= len(a):
+        return a
+    out = np.empty(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class Store:
     """Token ids by word."""
 
     def __init__(self) -> None:
         self.index = Codes()
-        self.pool = np.zeros(0, np.uint32)
-        self.start = self.length = np.zeros(0, np.int64)
+        self.pool = np.empty(1 << 12, np.uint32)
+        self.start = np.empty(1 << 10, np.int64)
+        self.length = np.empty(1 << 10, np.int64)
+        self.words = self.used = 0
 
     def add(self, place: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
         """Ids, and the numbers of each, of the words that come at these places after those in store."""
-        start, length = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-        start[place], length[place] = len(self.pool) + np.cumsum(n) - n, n
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, ids])
+        words, used = self.words + len(n), self.used + len(ids)
+        self.start, self.length, self.pool = roomy(self.start, words), roomy(self.length, words), roomy(self.pool, used)
+        self.start[self.words + place], self.length[self.words + place] = self.used + np.cumsum(n) - n, n
+        self.pool[self.used : used] = ids
+        self.words, self.used = words, used
 
     def ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words in a row, and the numbers of each."""
@@ -160,7 +174,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, close: int
         return {"k": batch.column(0).take(pa.array(row, pa.int64())), "piece": piece, "start": start, "length": length, "ids_crc32": crc} | ({"ids": ids} if with_ids else {})
 
     schema = f"k {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_text(df.select(F.col(key).alias("k"), F.col(text).alias("text")), work, schema, store="packing").withColumnRenamed("k", key)
+    return map_text(df.select(F.col(key).alias("k"), F.col(text).alias("text")), work, schema, store="packing", most=STEP).withColumnRenamed("k", key)
 
 
 class Template(NamedTuple):
