@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keeps, map_text, materialise, texts, tidy
+from .common import keeps, map_text, materialise, mix64, texts, tidy
 
 CAPACITY = 4096
 #: The id that closes each document.
@@ -43,34 +42,181 @@ SALT_ROWS = 100_000
 #: form already, lower-case alike everywhere, and letters, digits and white space among them are the same to every library.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]|<\\|")
-#: Words of a worker whose ids are kept.
-KEPT = 480_000
+#: Kinds of characters to the pattern; an apostrophe before these endings is a word with them.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: A key's 64-bit numbers, of four characters each. Longer words are tokenised anew in each step.
+QUADS = 4
+#: Words of a worker whose ids are kept, of which the table's slots are twice as many.
+KEPT = 1 << 20
 #: Bytes of text that are tokenised at once.
 STEP = 1 << 20
 
 
-def unusual(text: str) -> bool:
-    """Whether a text must go to the library whole. Of the ASCII characters only the four separators are white space to this pattern alone."""
-    if text.isascii():
-        return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-    return UNUSUAL.search(text) is not None
+def units(text: str) -> np.ndarray:
+    """A text's UTF-16 code units."""
+    return np.frombuffer(text.encode("utf-16-le"), np.uint16)
+
+
+@lru_cache(maxsize=1)
+def character_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each code unit, and whether it is unusual, as the patterns themselves say."""
+    every = "".join(map(chr, range(1 << 16)))
+    kind = np.full(1 << 16, OTHER, np.uint8)
+    for k, pattern in ((SPACE, r"\s"), (LETTER, r"[^\W\d_]"), (DIGIT, r"\d")):
+        kind[[ord(c) for c in re.findall(pattern, every)]] = k
+    odd = np.zeros(1 << 16, bool)
+    odd[[ord(c) for c in UNUSUAL.findall(every) if len(c) == 1]] = True
+    return kind, odd
+
+
+def plain(batch: list[str]) -> np.ndarray:
+    """Whether a text's words are found here; those of the others are left to the library."""
+    length = np.fromiter(map(len, batch), np.int64, len(batch))
+    whole = np.fromiter(("<|" not in x for x in batch), bool, len(batch))
+    text = "\n".join(batch)
+    u = np.frombuffer(text.encode(), np.uint8) if text.isascii() else units(text)
+    if len(u) != len(text):  # some characters take two units
+        return whole & np.fromiter((UNUSUAL.search(x) is None for x in batch), bool, len(batch))
+    odd = np.flatnonzero(character_kinds()[1][u])
+    whole[np.searchsorted(np.cumsum(length + 1), odd, side="right")] = False
+    return whole
+
+
+def find_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code units of a text in lower case, the words' starts and their lengths, as WORD finds them. There is some white space after it."""
+    u = units(text + " " * 4 * QUADS)
+    kind = character_kinds()[0][u]
+    first = np.ones(len(u), bool)
+    np.not_equal(kind[1:], kind[:-1], out=first[1:])
+    first |= kind == DIGIT
+    mark = np.flatnonzero(first & (u == ord("'")))
+    for ending in ENDINGS if len(mark) else ():
+        here = mark[np.logical_and.reduce([u[mark + 1 + i] == ord(c) for i, c in enumerate(ending)])]
+        first[here + 1] = False
+        first[here + 1 + len(ending)] = True
+    start = np.flatnonzero(first)
+    length = np.diff(start, append=len(u))
+    word = kind[start] != SPACE
+    return u, start[word], length[word]
+
+
+def word_keys(u: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The characters of words of at most 4 * QUADS of them, as one row of numbers each; no other word has the same."""
+    four = u[:-3].astype(np.uint64)
+    for i in range(1, 4):
+        four |= u[i : len(u) - 3 + i].astype(np.uint64) << np.uint64(16 * i)
+    mask = np.array([(1 << 16 * i) - 1 for i in range(5)], np.uint64)
+    keys = np.zeros((len(start), QUADS), np.uint64)
+    keys[:, 0] = four[start] & mask[np.minimum(length, 4)]
+    for q in range(1, QUADS):
+        more = np.flatnonzero(length > 4 * q)
+        keys[more, q] = four[start[more] + 4 * q] & mask[np.minimum(length[more] - 4 * q, 4)]
+    return keys
+
+
+def same_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).view(np.uint32)[:, 0] == np.uint32(0x01010101)
+
+
+class WordTable:
+    """Numbers of words by their keys: slots of which a word takes the first free one from where its hash points."""
+
+    def __init__(self, most: int) -> None:
+        self.slots = np.full(2 * most, -1, np.int32)
+        self.keys = np.empty((most, QUADS), np.uint64)
+        self.n = 0
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        h = mix64(keys[:, 0])
+        for q in range(1, QUADS):
+            more = np.flatnonzero(keys[:, q])
+            h[more] = mix64(h[more] ^ keys[more, q])
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those that are not here."""
+        at = self.place(keys)
+        entry = self.slots[at]
+        left = np.flatnonzero((entry >= 0) & ~same_rows(self.keys[entry], keys))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            entry[left] = now = self.slots[at[left]]
+            left = left[(now >= 0) & ~same_rows(self.keys[now], keys[left])]
+        return entry
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number different words that are not here, in their order."""
+        self.keys[self.n : self.n + len(keys)] = keys
+        at, left = self.place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.slots[at[left]] < 0]
+            self.slots[at[free]] = self.n + free  # of those that want one slot, one gets it
+            left = left[self.slots[at[left]] != self.n + left]
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+        self.n += len(keys)
+
+
+def ragged(pool: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stretches of a pool in a row."""
+    ends = np.cumsum(n, dtype=np.int64)
+    return pool[np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Store:
+    """Token ids of words: a table of their numbers, and where in one pool each one's ids are."""
+
+    def __init__(self, most: int) -> None:
+        self.table = WordTable(most)
+        self.start, self.length = np.zeros(most, np.int64), np.zeros(most, np.int32)
+        self.uses = np.zeros(most, np.int32)
+        self.pool, self.filled = np.empty(1 << 12, np.uint32), 0
+
+    def put(self, ids: np.ndarray) -> None:
+        """Ids after the last ones that are kept. They are overwritten later unless keep() is told their words."""
+        n = self.filled + len(ids)
+        if n > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.filled], np.empty(max(n, 2 * len(self.pool)) - self.filled, np.uint32)))
+        self.pool[self.filled : n] = ids
+
+    def keep(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """Keep different words, whose ids were the first put, as far as there is room."""
+        at = self.table.n
+        n = n[: len(self.start) - at]
+        self.table.add(keys[: len(n)])
+        self.start[at : at + len(n)] = self.filled + np.cumsum(n) - n
+        self.length[at : at + len(n)] = n
+        self.uses[at : at + len(n)] = 1
+        self.filled += int(n.sum())
+
+    def thinned(self) -> Store:
+        """A store of the half of the words that were in most steps; none of those met in no step since the last time."""
+        most, now = len(self.start), self.table.n
+        stay = np.argsort(-self.uses[:now], kind="stable")[: most // 2]
+        stay = stay[self.uses[stay] > 0]
+        new = Store(most)
+        new.put(ragged(self.pool, self.start[stay], self.length[stay]))
+        new.keep(self.table.keys[stay], self.length[stay])
+        new.uses[:] = 0
+        return new
 
 
 class WordTokenizer:
     """Token ids of texts as the tokenizers library gives them, with each different word tokenised once.
 
     The normaliser and the pattern look at no character outside a word, so a text's ids are its words' ids in a row.
+    Words are found and looked up in arrays, all of a step at once; only new or long ones become strings.
     Texts with unusual characters or special tokens go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.young, self.old = Store(), Store()
+        self.store = Store(kept)
 
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new words in a row and their numbers, from texts of many words each: a word's last token alone has the mark of a word's end."""
@@ -83,72 +229,42 @@ class WordTokenizer:
             made = np.fromiter((i for x in single for i in x), np.uint32, int(n.sum()))
         return made, n
 
-    def __call__(self, batch: list[str]) -> list[np.ndarray]:
-        if len(self.young.index) > KEPT // 2:  # words not met since the last change are forgotten
-            self.young, self.old = Store(), self.young
-        words = [() if unusual(t) else WORD.findall(t.lower()) for t in batch]
-        odd = [i for i, (t, own) in enumerate(zip(batch, words, strict=True)) if t and not own]
-        code = np.fromiter(map(self.young.index.__getitem__, chain.from_iterable(words)), np.int64)
-        if missed := self.young.index.missed:
-            self.young.index.missed = []
-            before = self.old.index
-            known = np.fromiter((dict.get(before, w, -1) for w in missed), np.int64, len(missed))
-            ids, n = self.old.ids(known[known >= 0])
-            if (known < 0).any():
-                new_ids, new_n = self.learn([w for w, k in zip(missed, known.tolist(), strict=True) if k < 0])
-                ids, n = np.concatenate([ids, new_ids]), np.concatenate([n, new_n])
-            place = np.argsort(known < 0, kind="stable")  # words kept before come first
-            self.young.add(place, ids, n)
-        whole = dict(zip(odd, self.library.encode_batch_fast([batch[i] for i in odd], add_special_tokens=False), strict=True)) if odd else {}
-        ids, n = self.young.ids(code)
-        bounds = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, words)])].tolist()
-        return [np.array(whole[i].ids, np.uint32) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(words))]
-
-
-class Codes(dict):
-    """Numbers words in the order in which they are first looked up, and lists those that were new."""
-
-    def __init__(self) -> None:
-        self.missed: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        code = self[word] = len(self)
-        self.missed.append(word)
-        return code
-
-
-def roomy(a: np.ndarray, n: int) -> np.ndarray:
-    """The array, or a copy of twice its length at least, with room for n values: growing costs what is added, not what is there."""
-    if n <= len(a):
-        return a
-    out = np.empty(max(n, 2 * len(a)), a.dtype)
-    out[: len(a)] = a
-    return out
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words of a text in lower case start, how many ids each has, and all ids in a row."""
+        if 4 * self.store.table.n > 3 * len(self.store.start):
+            self.store = self.store.thinned()
+        store = self.store
+        u, at, size = find_words(text)
+        short = size <= 4 * QUADS
+        keys = word_keys(u, at[short], size[short])
+        entry = store.table.find(keys)
+        missed = np.flatnonzero(entry < 0)
+        store.uses[entry[entry >= 0]] += 1  # once, however often a word is in the step
+        start, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        start[short], n[short] = store.start[entry], store.length[entry]
+        where = np.concatenate((np.flatnonzero(short)[missed], np.flatnonzero(~short)))
+        if not len(where):
+            return at, n, ragged(store.pool, start, n)
+        codes: dict[str, int] = {}
+        code = np.array([codes.setdefault(text[a : a + k], len(codes)) for a, k in zip(at[where].tolist(), size[where].tolist(), strict=True)])
+        made, new_n = self.learn(list(codes))
+        store.put(made)
+        start[where], n[where] = (store.filled + np.cumsum(new_n) - new_n)[code], new_n[code]
+        ids = ragged(store.pool, start, n)
+        which = np.unique(code[: len(missed)], return_index=True)[1]  # the words short enough for a key, which come first
+        store.keep(keys[missed[which]], new_n[: len(which)])
+        return at, n, ids
 
-
-class Store:
-    """Token ids by word."""
-
-    def __init__(self) -> None:
-        self.index = Codes()
-        self.pool = np.empty(1 << 12, np.uint32)
-        self.start = np.empty(1 << 10, np.int64)
-        self.length = np.empty(1 << 10, np.int64)
-        self.words = self.used = 0
-
-    def add(self, place: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        """Ids, and the numbers of each, of the words that come at these places after those in store."""
-        words, used = self.words + len(n), self.used + len(ids)
-        self.start, self.length, self.pool = roomy(self.start, words), roomy(self.length, words), roomy(self.pool, used)
-        self.start[self.words + place], self.length[self.words + place] = self.used + np.cumsum(n) - n, n
-        self.pool[self.used : used] = ids
-        self.words, self.used = words, used
-
-    def ids(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these words in a row, and the numbers of each."""
-        n = self.length[code]
-        ends = np.cumsum(n)
-        return self.pool[np.repeat(self.start[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+    def __call__(self, batch: list[str]) -> list[np.ndarray]:
+        here = plain(batch)
+        low = [x.lower() for x, own in zip(batch, here.tolist(), strict=True) if own]
+        edge = np.cumsum([0] + [len(x) + 1 for x in low])
+        at, n, ids = self.words("\n".join(low))
+        bounds = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(at, edge)].tolist()
+        found = (ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
+        odd = [batch[i] for i in np.flatnonzero(~here)]
+        whole = (np.array(x.ids, np.uint32) for x in (self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else ()))
+        return [next(found if own else whole) for own in here.tolist()]
 
 
 @lru_cache(maxsize=4)

@@ -91,6 +91,27 @@ def test_pieces_equal_the_library(spark):
         assert [pieces[p][0] for p in sorted(pieces)] == list(range(0, len(ids), 4096))
 
 
+def test_word_ids_are_the_librarys():
+    """Random texts of contractions, odd characters, long words and special strings, with a store that has to be thinned often."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", "'S", "'LL", " ", "\n", "\t", "\xa0", "a", "B", "s", "t", "re", "ll", "1", "23", "_", "-", "!?"]
+    parts += ["é", "É", "e\u0301", "İ", "ǅ", "œ", "ß", "ſ", "\u212a", "<|", "<|endoftext|>", "²", "中", "\U0001f600", "\x1c", "\0", "\x85", "x" * 16, "y" * 17, "z" * 90]
+    some = random.Random(3)
+    for kept in (64, 1 << 12):
+        ours = packing.WordTokenizer(path("word_bpe_49k.json"), kept)
+        for _ in range(120):
+            batch = ["".join(some.choice(parts) for _ in range(some.randint(0, 40))) for _ in range(some.randint(0, 30))]
+            batch += ["".join(some.choice("abcdefgh") for _ in range(some.randint(1, 6))) for _ in range(some.randint(0, 90))]
+            told = library.encode_batch(batch, add_special_tokens=False)
+            assert [x.tolist() for x in ours(batch)] == [x.ids for x in told]
+            assert ours.store.table.n <= kept
+    assert [len(x) for x in ours(["", " \n", ""])] == [0, 0, 0] and ours([]) == []
+
+
 def test_packing_is_gapless_and_tight(spark):
     docs = documents(spark)
     rows = packing.pack_documents(docs, path("word_bpe_49k.json"), with_ids=True).collect()
