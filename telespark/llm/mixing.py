@@ -76,13 +76,18 @@ def features(column: pa.Array) -> Features:
     return Features(tokens, np.concatenate([share, shape], axis=1), key & ((1 << BITS) - 1), bounds)
 
 
-def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+def sums(weights: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each text's sum of its words' weights, one domain at a time: what is in memory at once doesn't grow with the domains."""
+    out = np.empty((len(bounds) - 1, weights.shape[1]))
+    total = np.zeros(len(index) + 1)
+    for j in range(weights.shape[1]):
+        np.cumsum(np.ascontiguousarray(weights[:, j])[index], out=total[1:])
+        out[:, j] = total[bounds[1:]] - total[bounds[:-1]]
+    return out
 
 
 def posteriors(c: Classifier, f: Features) -> np.ndarray:
-    z = ((f.dense - c.mean) / c.scale) @ c.dense[:-1] + c.dense[-1] + sums(c.words[f.index], f.bounds)
+    z = ((f.dense - c.mean) / c.scale) @ c.dense[:-1] + c.dense[-1] + sums(c.words, f.index, f.bounds)
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
@@ -93,9 +98,9 @@ def train(f: Features, label: np.ndarray, domains: list[str], rounds: int = 150,
     mean, scale = f.dense.mean(axis=0), f.dense.std(axis=0) + 1e-6
     x = np.concatenate([(f.dense - mean) / scale, np.ones((n, 1))], axis=1)
     known = np.flatnonzero(np.bincount(f.index, minlength=1 << BITS) >= least)
-    to = np.full(1 << BITS, -1)
+    to = np.full(1 << BITS, -1, np.int32)
     to[known] = np.arange(len(known))
-    row = np.repeat(np.arange(n), np.diff(f.bounds))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(f.bounds))
     keep = to[f.index] >= 0
     row, column = row[keep], to[f.index][keep]
     ends = np.searchsorted(row, np.arange(n + 1))
@@ -104,7 +109,7 @@ def train(f: Features, label: np.ndarray, domains: list[str], rounds: int = 150,
     params[0][-1] = np.log((one.sum(axis=0) + 1) / (n + k))
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
-        z = x @ params[0] + sums(params[1][column], ends)
+        z = x @ params[0] + sums(params[1], column, ends)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         g = (p / p.sum(axis=1, keepdims=True) - one) / n
         by_word = np.stack([np.bincount(column, weights=g[row, j], minlength=len(known)) for j in range(k)], axis=1)
