@@ -6,9 +6,10 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import RANGES, range_cuts, range_of
 from .stats import cell_of
 
 #: Fixed value: standard gravity.
@@ -88,11 +89,38 @@ def rate_distortion(reports: DataFrame) -> DataFrame:
     return reports.groupBy("rate").agg(F.avg("bits_per_sample").alias("bits_per_sample"), F.avg("psnr_db").alias("psnr_db"), F.median("psnr_db").alias("median_psnr_db"), F.max("psnr_db").alias("best_psnr_db"))
 
 
+def quantiles(samples: DataFrame, keys: list[str], at: list[float], value: str = "value", ranges: int = RANGES) -> DataFrame:
+    """keys and levels: the exact quantiles of each series, interpolated as percentile() does; nulls don't count, and levels are null where nothing else is.
+
+    No task holds a series' different values. Rows are counted by ranges of values, which tells the range of every wanted rank; only there
+    are values counted, each once, and summed up in their order.
+    """
+    base = samples.select(*keys, F.col(value).cast("double").alias("_v"))
+    base = base.withColumn("_range", range_of(F.col("_v"), range_cuts(base, F.col("_v"), ranges)))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    counts = base.groupBy(*keys, "_range").agg(F.count("_v").alias("_count"))
+    counts = counts.withColumns({"_n": F.sum("_count").over(Window.partitionBy(*keys)), "_before": F.coalesce(F.sum("_count").over(before.partitionBy(*keys).orderBy("_range")), F.lit(0))})
+    places = [(F.col("_n") - 1) * F.lit(float(q)) for q in at]
+    ranks = F.array_distinct(F.array(*(f(x).cast("long") for x in places for f in (F.floor, F.ceil))))
+    within = lambda start, count: lambda r: (r >= start) & (r < start + count)
+    hit = counts.withColumn("_ranks", F.filter(ranks, within(F.col("_before"), F.col("_count")))).where(F.size("_ranks") > 0)
+    some = base.where("_v is not null").groupBy(*keys, "_range", "_v").agg(F.count("*").alias("_same")).join(hit.drop("_count"), [*keys, "_range"])
+    start = F.col("_before") + F.coalesce(F.sum("_same").over(before.partitionBy(*keys, "_range").orderBy("_v")), F.lit(0))
+    found = some.withColumn("_start", start).withColumn("_rank", F.explode(F.filter("_ranks", within(F.col("_start"), F.col("_same")))))
+    held = found.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def level(x: Column) -> Column:
+        low, high = F.element_at("_at", F.floor(x).cast("long")), F.element_at("_at", F.ceil(x).cast("long"))
+        return F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+
+    made = held.select(*keys, F.array(*map(level, places)).alias("levels"))
+    return counts.where("_n = 0").select(*keys).distinct().withColumn("levels", F.lit(None).cast("array<double>")).unionByName(made)
+
+
 def uniform_quantile(samples: DataFrame, keys: list[str], bits: int, value: str = "value") -> DataFrame:
     """The baseline of 2**bits levels at even quantiles with midpoint boundaries: adds cell and decoded."""
     k = 1 << bits
-    at = F.array(*[F.lit((i + 0.5) / k) for i in range(k)])
-    levels = samples.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), at).alias("levels"))
+    levels = quantiles(samples, keys, [(i + 0.5) / k for i in range(k)], value)
     bounds = F.transform(F.slice("levels", 1, k - 1), lambda x, i: (x + F.element_at("levels", i + 2)) / 2)
     rows = samples.join(levels.withColumn("bounds", bounds), keys)
     cell = cell_of(F.col(value).cast("double"), F.col("bounds"))

@@ -21,6 +21,19 @@ def checked(value: Column) -> Column:
     return F.when(not_finite(value), F.raise_error(F.lit("input contains a non-finite value")).cast("float")).otherwise(value)
 
 
+def range_cuts(df: DataFrame, x: Column, ranges: int = RANGES) -> list[float]:
+    """Sorted cuts of a numeric column into ranges of about as many rows each; fewer where values repeat."""
+    return sorted(set(df.select(x.alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
+
+
+def range_of(x: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many sorted cuts are at or below x (0 where it is null), by halving: a filter() over the cuts would compute x once for each."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(x >= cuts[half], range_of(x, cuts[half + 1 :], first + half + 1)).otherwise(range_of(x, cuts[:half], first))
+
+
 def samples(df: DataFrame, series: Column, order: Column, value: Column, *ties: Column, ranges: int = RANGES) -> DataFrame:
     """Number each series' rows from 0 in the order of a numeric ``order`` (then ``ties``).
 
@@ -28,8 +41,7 @@ def samples(df: DataFrame, series: Column, order: Column, value: Column, *ties:
     (series, range), and the counts of the ranges before are added. Only the counts, one per series and range, are windowed.
     """
     base = df.select(series.cast("string").alias("series_id"), order.alias("_order"), value.cast("float").alias("value"), *(t.alias(f"_tie{i}") for i, t in enumerate(ties)))
-    cuts = sorted(set(base.select(F.col("_order").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_order").cast("double"))) if cuts else F.lit(0)
+    place = range_of(F.col("_order").cast("double"), range_cuts(base, F.col("_order").cast("double"), ranges))
     base = base.withColumn("_range", place)
     counts = base.groupBy("series_id", "_range").count()
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("series_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -183,3 +183,28 @@ def test_lags_and_sums_across_blocks(spark):
         assert [(g.v_1, g.v_2) for g in got] == [(x[i - 1] if i else None, x[i - 2] if i > 1 else None) for i in range(size)]
         sums = sorted(stats.running_sum(rows, "v", "total").select("sample_idx", "total").collect())
         assert [s.total for s in sums] == np.cumsum(x).tolist()
+
+
+def test_quantiles_without_a_task_of_all_values(spark):
+    from telespark.operators import quality
+
+    x = np.random.default_rng(5).normal(size=3000).tolist()
+    cases = {"many": x, "ties": [float(int(3 * v)) for v in x], "one": [2.5], "two": [1.0, None, 4.0], "null": [None, None], "ends": [-0.0, 0.0, float("inf"), float("nan"), 7.0]}
+    rows = spark.createDataFrame([(k, v) for k, c in cases.items() for v in c], "series_id string, value double").repartition(5)
+    for bits in (2, 3, 4):
+        at = [(i + 0.5) / (1 << bits) for i in range(1 << bits)]
+        want = {r[0]: r[1] for r in rows.groupBy("series_id").agg(F.percentile("value", F.array(*map(F.lit, at))).alias("levels")).collect()}
+        got = {r[0]: r[1] for r in quality.quantiles(rows, ["series_id"], at).collect()}
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            assert (got[k] is None) == (v is None) and (v is None or np.array_equal(got[k], v, equal_nan=True)), k
+    made = quality.uniform_quantile(rows, ["series_id"], 3)
+    assert made.count() == rows.count()
+    assert "percentile(" not in made._jdf.queryExecution().toString()  # it keeps all different values of a series in one task
+
+
+def test_ranges_by_halving(spark):
+    cuts = [-1.0, 0.0, 2.5, 7.0, 9.0]
+    x = [None, float("-inf"), -1.0, -0.5, 0.0, 2.5, 8.0, 9.0, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").withColumn("n", S.range_of(F.col("x"), cuts)).collect()
+    assert [r.n for r in rows] == [0, 0, 1, 1, 2, 3, 4, 5, 5, 5]
