@@ -20,8 +20,8 @@ from ..session import ready
 from . import codec
 from .series import block_arrays, series_of_blocks
 
-#: Blocks that one numpy batch holds (2 MB of samples each 256).
-BATCH = 512
+#: Blocks that one numpy batch holds.
+BATCH = codec.SIDE
 TABLE = "series_id string, block_no long, start_sample long, sample_count int, quant_mode tinyint, predictor tinyint, harmonic float, scale_or_alpha float, beta float, levels array<float>, payload binary, body_bytes int, record_bytes int, crc32c long"
 _NAMES = [f.split()[0] for f in TABLE.split(", ")]
 

@@ -73,7 +73,7 @@ def mseed_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrow_container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series in chunks of 1,500 samples through containers, beside each chunk by itself through a frame."""
     from ..sources.arrowbox import from_containers, to_containers
-    from ..sources.frame import compress, decompress
+    from ..sources.frame import compress_many, decompress_many
 
     ready(spark)
     rows = orders(spark, sf_dir).withColumn("chunk_no", F.expr("cast(sample_idx div 1500 as int)"))
@@ -81,13 +81,16 @@ def arrow_container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = from_containers(to_containers(chunks)).withColumnRenamed("values", "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same, size = [], []
-            for values, again, start, no in zip(b.column("values"), b.column("again"), b.column("start_sample").to_pylist(), b.column("chunk_no").to_pylist(), strict=True):
-                x = values.values.to_numpy()
-                size.append(len(x))
-                same.append(start == 1500 * no and again.values is not None and bool(np.array_equal(decompress(compress(x, target_rate=3.0)), again.values.to_numpy())))
-            yield pa.RecordBatch.from_arrays([b.column("series_id"), pa.array(size, pa.int64()), pa.array(same)], names=["series_id", "n", "same"])
+        for batch in batches:
+            for a in range(0, batch.num_rows, block_ops.BATCH):
+                b = batch.slice(a, block_ops.BATCH)
+                parts = block_ops.lists(b.column("values"), np.float32)
+                alone = decompress_many(compress_many(parts, target_rate=3.0))
+                same = [
+                    start == 1500 * no and again.values is not None and bool(np.array_equal(x, again.values.to_numpy()))
+                    for x, again, start, no in zip(alone, b.column("again"), b.column("start_sample").to_pylist(), b.column("chunk_no").to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([b.column("series_id"), pa.array(list(map(len, parts)), pa.int64()), pa.array(same)], names=["series_id", "n", "same"])
 
     both = chunks.join(back, ["series_id", "chunk_no"]).select("series_id", "chunk_no", "start_sample", "values", "again")
     made = both.mapInArrow(run, "series_id string, n long, same boolean")

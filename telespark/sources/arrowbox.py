@@ -1,7 +1,7 @@
 """Containers of float32 columns: one frame for each chunk of a column, behind a table of their sizes.
 
-As tables: to_containers() packs rows of chunks, from_containers() unpacks rows of containers, each on Arrow batches without a shuffle of samples.
-A container is read in one piece, so it must fit a task.
+As tables: to_containers() codes rows of chunks where they lie and gathers their frames, from_containers() deals a container's frames out and decodes
+them, both side by side in Arrow batches. A container is read in one piece, so its bytes must fit a task; its samples needn't.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import lists
+from ..operators.codec import SIDE
 from ..session import ready
 from . import frame
 
@@ -31,12 +33,29 @@ class InvalidContainer(ValueError):
 
 def pack(chunks: list[np.ndarray], rate: float) -> bytes:
     """The container of a column's chunks; an empty chunk takes no bytes."""
-    if len(chunks) > MOST_CHUNKS:
+    return box(frames_of(chunks, rate), [len(c) for c in chunks], rate)
+
+
+def frames_of(chunks: list[np.ndarray], rate: float) -> list[bytes]:
+    """A frame for each chunk, no bytes for an empty one."""
+    made = iter(frame.compress_many([c for c in chunks if len(c)], target_rate=rate))
+    return [next(made) if len(c) else b"" for c in chunks]
+
+
+def samples_of(frames: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+    """The chunks of frames_of()."""
+    some = [(f, n) for f, n in zip(frames, lengths, strict=True) if f]
+    made = iter(frame.decompress_many([f for f, _ in some], [n for _, n in some]))
+    return [next(made) if f else np.zeros(0, np.float32) for f in frames]
+
+
+def box(frames: list[bytes], lengths: list[int], rate: float) -> bytes:
+    """The container of frames and how many values each has."""
+    if len(frames) > MOST_CHUNKS:
         raise ValueError(f"a container holds {MOST_CHUNKS} chunks at most")
-    frames = [frame.compress(c, target_rate=rate) if len(c) else b"" for c in chunks]
-    entries = np.zeros(len(chunks), ENTRY)
-    entries["bytes"], entries["values"] = [len(f) for f in frames], [len(c) for c in chunks]
-    header = np.array([(MAGIC, VERSION, len(chunks), int(entries["values"].sum()), rate)], HEADER)
+    entries = np.zeros(len(frames), ENTRY)
+    entries["bytes"], entries["values"] = [len(f) for f in frames], lengths
+    header = np.array([(MAGIC, VERSION, len(frames), int(entries["values"].sum(dtype=np.int64)), rate)], HEADER)
     return b"".join([header.tobytes(), entries.tobytes(), *frames])
 
 
@@ -66,7 +85,7 @@ def contents(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def unpack(data: bytes) -> list[np.ndarray]:
     """The chunks of a container."""
     _, entries = contents(data)
-    return [frame.decompress(data[e.at : e.at + e.bytes], int(e.values)) if e.bytes else np.zeros(0, np.float32) for e in entries]
+    return samples_of([data[e.at : e.at + e.bytes] for e in entries], entries["values"].tolist())
 
 
 def compress_arrow(column: pa.Array | pa.ChunkedArray, target_rate: float = 3.0) -> pa.Buffer:
@@ -90,30 +109,47 @@ def decompress_arrow(buffer: pa.Buffer | bytes, length: int) -> pa.Array:
 def to_containers(chunks: DataFrame, rate: float = 3.0) -> DataFrame:
     """(series_id, container) of rows (series_id, chunk_no, values: array<float>), the chunks in order."""
     ready(chunks.sparkSession)
-    gathered = chunks.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "values"))).alias("c")).select("series_id", F.col("c.values").alias("chunks"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for row in batch.column("chunks"):
-                if any(c.values is None or c.values.null_count for c in row):
+            for a in range(0, batch.num_rows, SIDE):
+                part = batch.slice(a, SIDE)
+                values = part.column("values")
+                if values.null_count or values.flatten().null_count:
                     raise ValueError("a column with nulls can't be encoded")
-                made.append(pack([c.values.to_numpy() for c in row], rate))
+                parts = lists(values, np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("series_id"), part.column("chunk_no"), pa.array(list(map(len, parts)), pa.int64()), pa.array(frames_of(parts, rate), pa.binary())], names=["series_id", "chunk_no", "n", "frame"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [box(row["frame"], row["n"], rate) for row in batch.select(["frame", "n"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("series_id"), pa.array(made, pa.binary())], names=["series_id", "container"])
 
-    return gathered.mapInArrow(run, "series_id string, container binary")
+    kind = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    coded = chunks.select("series_id", "chunk_no", "values").mapInArrow(code, f"series_id {kind['series_id']}, chunk_no {kind['chunk_no']}, n long, frame binary")
+    gathered = coded.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "n", "frame"))).alias("c"))
+    return gathered.select("series_id", F.col("c.frame").alias("frame"), F.col("c.n").alias("n")).mapInArrow(gather, "series_id string, container binary")
 
 
 def from_containers(containers: DataFrame) -> DataFrame:
     """The chunks of rows (series_id, container) as (series_id, chunk_no, start_sample, values)."""
-    ready(containers.sparkSession)
-    schema = pa.schema([("series_id", pa.string()), ("chunk_no", pa.int32()), ("start_sample", pa.int64()), ("values", pa.list_(pa.float32()))])
+    spark = ready(containers.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("series_id").to_pylist(), batch.column("container").to_pylist(), strict=True):
-                parts = unpack(data)
-                size = np.array([len(p) for p in parts], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(np.cumsum(size) - size), pa.array(parts, pa.list_(pa.float32()))], schema=schema)
+                _, entries = contents(data)
+                size = entries["values"].copy()
+                frames = pa.array([data[e.at : e.at + e.bytes] for e in entries], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(size), pa.string()), pa.array(range(len(size)), pa.int32()), pa.array(np.cumsum(size) - size), pa.array(size), frames], names=["series_id", "chunk_no", "start_sample", "n", "frame"])
 
-    return containers.select("series_id", "container").mapInArrow(run, UNPACKED)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, SIDE):
+                part = batch.slice(a, SIDE)
+                values = samples_of(part.column("frame").to_pylist(), part.column("n").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("series_id", "chunk_no", "start_sample")), pa.array(values, pa.list_(pa.float32()))], names=["series_id", "chunk_no", "start_sample", "values"])
+
+    frames = containers.select("series_id", "container").mapInArrow(deal, "series_id string, chunk_no int, start_sample long, n long, frame binary")
+    # a number of its own: so few bytes would else be put together in one task
+    return frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "series_id", "chunk_no").mapInArrow(decode, UNPACKED)

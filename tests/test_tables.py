@@ -208,3 +208,25 @@ def test_ranges_by_halving(spark):
     x = [None, float("-inf"), -1.0, -0.5, 0.0, 2.5, 8.0, 9.0, float("inf"), float("nan")]
     rows = spark.createDataFrame([(v,) for v in x], "x double").withColumn("n", S.range_of(F.col("x"), cuts)).collect()
     assert [r.n for r in rows] == [0, 0, 1, 1, 2, 3, 4, 5, 5, 5]
+
+
+def test_a_container_is_coded_and_decoded_in_many_tasks(spark):
+    from telespark.sources import arrowbox, frame
+
+    rng = np.random.default_rng(8)
+    parts = [rng.normal(size=n).astype(np.float32) for n in (2048, 1500, 0, 1700, 6144, 3600, 1500)]
+    some = [p for p in parts if len(p)]
+    for settings in ({"target_rate": 3.0}, {"absolute_error": 0.01, "enable_index": True}):
+        assert frame.compress_many(some, **settings) == [frame.compress(p, **settings) for p in some]
+    assert [x.tobytes() for x in frame.decompress_many([frame.compress(p) for p in some])] == [frame.decompress(frame.compress(p)).tobytes() for p in some]
+    rows = spark.createDataFrame([("a", i, p.tolist()) for i, p in enumerate(parts)], "series_id string, chunk_no int, values array<float>").repartition(4)
+    boxes = arrowbox.to_containers(rows, 3.0)
+    assert bytes(boxes.first().container) == arrowbox.pack(parts, 3.0)
+    plan = boxes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("MapInArrow") > plan.index("Aggregate")  # chunks are coded before a series comes together
+    back = arrowbox.from_containers(boxes).withColumn("task", F.spark_partition_id()).orderBy("chunk_no").collect()
+    assert len({r.task for r in back}) > 1
+    for r, want, start in zip(back, arrowbox.unpack(arrowbox.pack(parts, 3.0)), np.cumsum([0, *map(len, parts)]), strict=False):
+        assert np.array(r["values"], np.float32).tobytes() == want.tobytes() and r.start_sample == start
+    with pytest.raises(Exception, match="nulls"):
+        arrowbox.to_containers(spark.createDataFrame([("a", 0, [1.0, None])], "series_id string, chunk_no int, values array<float>")).collect()
