@@ -230,3 +230,9 @@ def test_a_container_is_coded_and_decoded_in_many_tasks(spark):
         assert np.array(r["values"], np.float32).tobytes() == want.tobytes() and r.start_sample == start
     with pytest.raises(Exception, match="nulls"):
         arrowbox.to_containers(spark.createDataFrame([("a", 0, [1.0, None])], "series_id string, chunk_no int, values array<float>")).collect()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["codec_comparison", "rd_summary", "uniform_quantile_codec"])
+def test_quantile_baselines_hold_no_series_in_a_task(spark, name):
+    assert "percentile(" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()
