@@ -27,7 +27,11 @@ def range_cuts(df: DataFrame, x: Column, ranges: int = RANGES) -> list[float]:
 
 
 def range_of(x: Column, cuts: list[float], first: int = 0) -> Column:
-    """How many sorted cuts are at or below x (0 where it is null), by halving: a filter() over the cuts would compute x once for each."""
+    """How many sorted cuts are at or below x (0 where it is null), by halving.
+
+    Not by filter() over the cuts: that computes x once for each, and Spark numbers a lambda's variables from 0 when it compares expressions, so
+    it takes them for a session's first columns and puts filters of one side of a join on the other.
+    """
     if not cuts:
         return F.lit(first)
     half = len(cuts) // 2

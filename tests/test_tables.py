@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -236,3 +238,19 @@ def test_a_container_is_coded_and_decoded_in_many_tasks(spark):
 @pytest.mark.parametrize("name", ["codec_comparison", "rd_summary", "uniform_quantile_codec"])
 def test_quantile_baselines_hold_no_series_in_a_task(spark, name):
     assert "percentile(" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_the_first_query_of_a_session(spark, tmp_path):
+    """In a process of its own: there the table's columns get Spark's lowest expression ids."""
+    spark.range(5000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00.25' + make_dt_interval(0, 0, 0, id) AS ts", "id % 7 AS user_id", "if(id % 2 = 0, 'a', 'b') AS event_type", "CAST(id AS DOUBLE) AS value").write.parquet(str(tmp_path / "events.parquet"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from telespark.plans.queries import QUERIES
+print([tuple(r) for r in QUERIES["peak_acceleration"](spark, {str(tmp_path)!r}).orderBy("series_id").collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_CONNECT"))} | {"PYTHONPATH": root}
+    run = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert eval(run.stdout) == [("a", round(4998 / 213979.6422 / 9.80665, 10)), ("b", round(4999 / 213979.6422 / 9.80665, 10))]
