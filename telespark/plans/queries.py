@@ -457,10 +457,11 @@ def line_protocol_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_roundtrip", with_sql("Et", " SELECT series_id, CAST(sample_idx AS BIGINT) AS sample_idx, ts, floor(CAST(value AS DOUBLE)) AS value FROM s"))
 def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in chunks and back; events of one type may share a time."""
     from ..sources.timeseries import decode_chunks, encode_chunks
 
-    chunks = encode_chunks(whole("Et", spark, sf_dir), per_chunk=1000, absolute_error=0.25)
-    return decode_chunks(chunks).select("series_id", (F.col("chunk_no") * 1000 + F.col("i")).alias("sample_idx"), "ts", F.rint("value").alias("value"))
+    chunks = encode_chunks(whole("Et", spark, sf_dir), per_chunk=1000, repeats=True, absolute_error=0.25)
+    return decode_chunks(chunks, repeats=True).select("series_id", (F.col("chunk_no") * 1000 + F.col("i")).alias("sample_idx"), "ts", F.rint("value").alias("value"))
 
 
 @query("prometheus_points", with_sql("Eu", " SELECT series_id, CAST(sample_idx AS BIGINT) AS sample_idx, ts, CAST(value AS DOUBLE) AS value FROM s"))

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import BLOCK
 from ..errors import CorruptedStream
 from ..functions.varint import leb_decode, leb_encode, unzigzag, zigzag
+from ..operators.codec import SIDE
 from ..session import ready
 from . import frame
 
@@ -125,25 +127,48 @@ def plain_point(line: Column, name: str) -> tuple[Column, Column]:
     return F.when(stamp != "", stamp.cast("long")), F.when(value != "", value.cast("float"))
 
 
-def write_chunk(ts: np.ndarray, values: np.ndarray, **settings) -> bytes:
-    """A chunk of points whose timestamps strictly rise."""
-    ts, values = np.asarray(ts, np.int64), np.asarray(values, np.float32)
-    if len(ts) != len(values):
+def write_chunk(ts: np.ndarray, values: np.ndarray, repeats: bool = False, **settings) -> bytes:
+    """A chunk of points whose timestamps strictly rise; with ``repeats`` they may also stay."""
+    return write_chunks([(ts, values)], repeats, **settings)[0]
+
+
+def write_chunks(points: list[tuple[np.ndarray, np.ndarray]], repeats: bool = False, **settings) -> list[bytes]:
+    """write_chunk() of each (timestamps, values), with all blocks coded side by side."""
+    heads = [_write_stamps(np.asarray(ts, np.int64), len(values), repeats) for ts, values in points]
+    frames = frame.compress_many([np.asarray(values, np.float32) for _, values in points], **settings)
+    return [h + f for h, f in zip(heads, frames, strict=True)]
+
+
+def _write_stamps(ts: np.ndarray, values: int, repeats: bool) -> bytes:
+    if len(ts) != values:
         raise ValueError("timestamps and values have different lengths")
     if not len(ts):
         raise ValueError("a chunk needs points")
     stamps = ts.tolist()
     deltas = [b - a for a, b in zip(stamps, stamps[1:], strict=False)]
-    if any(d <= 0 for d in deltas):
-        raise ValueError("timestamps must be strictly increasing")
+    if any(d < (0 if repeats else 1) for d in deltas):
+        raise ValueError("timestamps must not fall" if repeats else "timestamps must be strictly increasing")
     if any(d >= 2**63 for d in deltas):
         raise ValueError("timestamp delta overflows")
     delta = np.array(deltas, np.int64)
     packed = leb_encode(zigzag(np.diff(delta, prepend=np.int64(0))))
-    return struct.pack("<IIIq", CHUNK_MAGIC, len(ts), len(packed), stamps[0]) + packed + frame.compress(values, **settings)
+    return struct.pack("<IIIq", CHUNK_MAGIC, len(ts), len(packed), stamps[0]) + packed
+
+
+def read_chunk(data: bytes, repeats: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(timestamps, values) of a chunk; ``repeats``: as it was written."""
+    return read_chunks([data], repeats)[0]
 
 
-def read_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def read_chunks(chunks: list[bytes], repeats: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """read_chunk() of each, with blocks decoded side by side."""
+    seen = [_read_stamps(data, repeats) for data in chunks]
+    values = frame.decompress_many([body for _, body in seen], [len(ts) for ts, _ in seen])
+    return [(ts, v) for (ts, _), v in zip(seen, values, strict=True)]
+
+
+def _read_stamps(data: bytes, repeats: bool) -> tuple[np.ndarray, bytes]:
+    """A chunk's timestamps, and its frame."""
     if len(data) < CHUNK_HEADER:
         raise CorruptedStream("truncated chunk")
     magic, n, size, first = struct.unpack_from("<IIIq", data)
@@ -155,39 +180,79 @@ def read_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     dod = unzigzag(leb_decode(data[CHUNK_HEADER : CHUNK_HEADER + size]))
     if len(dod) != n - 1:
         raise CorruptedStream("the chunk's timestamps don't match its count")
-    ts, delta = [first], 0
+    ts, delta, least = [first], 0, 0 if repeats else 1
     for d in dod.tolist():
         delta += d
         ts.append(ts[-1] + delta)
-        if delta <= 0 or ts[-1] >= 2**63:
-            raise CorruptedStream("timestamps are not strictly increasing")
-    return np.array(ts, np.int64), frame.decompress(body, n)
-
-
-def encode_chunks(points: DataFrame, per_chunk: int = 120_000, **settings) -> DataFrame:
-    """(series_id, chunk_no, first_ts, n, chunk) of numbered points (series_id, sample_idx, ts, value), ``per_chunk`` points each."""
+        if delta < least or ts[-1] >= 2**63:
+            raise CorruptedStream("timestamps fall" if repeats else "timestamps are not strictly increasing")
+    return np.array(ts, np.int64), body
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, int, np.ndarray, np.ndarray]]:
+    """(series_id, chunk_no, timestamps, values) of each chunk of rows sorted by chunk."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if b.column("ts").null_count:
+            raise ValueError("a timestamp is null")
+        series, no, ts, value = b.column("series_id"), b.column("chunk_no").to_numpy(), b.column("ts").to_numpy(), b.column("value").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(series.dictionary_encode("encode").indices.to_numpy()) != 0) | (np.diff(no) != 0)) + 1
+        for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            own = (series[a].as_py(), int(no[a]))
+            if held and own != key:
+                yield *key, *map(np.concatenate, zip(*held, strict=True))
+                held = []
+            key = own
+            held.append((ts[a:e], value[a:e]))
+    if held:
+        yield *key, *map(np.concatenate, zip(*held, strict=True))
+
+
+def encode_chunks(points: DataFrame, per_chunk: int = 120_000, repeats: bool = False, **settings) -> DataFrame:
+    """(series_id, chunk_no, first_ts, n, chunk) of numbered points (series_id, sample_idx, ts, value), ``per_chunk`` points each.
+
+    A task holds as many chunks as are coded side by side; timestamps strictly rise, or with ``repeats`` don't fall.
+    """
     ready(points.sparkSession)
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("sample_idx")
-        ts = t.column("ts").to_numpy()
-        made = write_chunk(ts, t.column("value").to_numpy(), **settings)
-        return pa.table({"series_id": [key[0].as_py()], "chunk_no": pa.array([key[1].as_py()], pa.int64()), "first_ts": pa.array([int(ts[0])], pa.int64()), "n": pa.array([len(ts)], pa.int64()), "chunk": pa.array([made], pa.binary())})
+    def coded(held: list[tuple[str | None, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        made = write_chunks([(ts, value) for _, _, ts, value in held], repeats, **settings)
+        series, no, ts, _ = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(series, pa.string()), pa.array(no, pa.int64()), pa.array([int(t[0]) for t in ts], pa.int64()), pa.array(list(map(len, ts)), pa.int64()), pa.array(made, pa.binary())], names=["series_id", "chunk_no", "first_ts", "n", "chunk"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, blocks = [], 0
+        for chunk in _whole(batches):
+            held.append(chunk)
+            blocks += -(-len(chunk[2]) // BLOCK)
+            if blocks >= SIDE:
+                yield coded(held)
+                held, blocks = [], 0
+        if held:
+            yield coded(held)
 
     rows = points.select("series_id", F.expr(f"sample_idx div {per_chunk}").alias("chunk_no"), "sample_idx", "ts", "value")
-    return rows.groupBy("series_id", "chunk_no").applyInArrow(run, "series_id string, chunk_no long, first_ts long, n long, chunk binary")
+    rows = rows.repartition("series_id", "chunk_no").sortWithinPartitions("series_id", "chunk_no", "sample_idx")
+    return rows.mapInArrow(run, "series_id string, chunk_no long, first_ts long, n long, chunk binary")
 
 
-def decode_chunks(chunks: DataFrame) -> DataFrame:
-    """(series_id, chunk_no, i, ts, value) of (series_id, chunk_no, chunk)."""
+def decode_chunks(chunks: DataFrame, repeats: bool = False) -> DataFrame:
+    """(series_id, chunk_no, i, ts, value) of (series_id, chunk_no, chunk); ``repeats``: as they were written."""
     ready(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, no, data in zip(*(b.column(c).to_pylist() for c in ("series_id", "chunk_no", "chunk")), strict=True):
-                ts, value = read_chunk(data)
-                n = len(ts)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([no] * n, pa.int64()), pa.array(np.arange(n)), pa.array(ts), pa.array(value)], names=["series_id", "chunk_no", "i", "ts", "value"])
+            names, numbers, data = (b.column(c).to_pylist() for c in ("series_id", "chunk_no", "chunk"))
+            points = np.cumsum([int.from_bytes(c[4:8], "little") for c in data])  # as the headers say; so many are decoded at once
+            cuts = (np.flatnonzero(np.diff(points // (SIDE * BLOCK))) + 1).tolist()
+            for a, e in zip([0, *cuts], [*cuts, len(data)], strict=True):
+                for name, no, (ts, value) in zip(names[a:e], numbers[a:e], read_chunks(data[a:e], repeats), strict=True):
+                    n = len(ts)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([no] * n, pa.int64()), pa.array(np.arange(n)), pa.array(ts), pa.array(value)], names=["series_id", "chunk_no", "i", "ts", "value"])
 
     return chunks.select("series_id", "chunk_no", "chunk").mapInArrow(run, "series_id string, chunk_no long, i long, ts long, value float")
 

@@ -254,3 +254,34 @@ print([tuple(r) for r in QUERIES["peak_acceleration"](spark, {str(tmp_path)!r}).
     run = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
     assert run.returncode == 0, run.stderr[-2000:]
     assert eval(run.stdout) == [("a", round(4998 / 213979.6422 / 9.80665, 10)), ("b", round(4999 / 213979.6422 / 9.80665, 10))]
+
+
+def test_chunks_with_repeated_times(spark, tmp_path):
+    from telespark.errors import CorruptedStream
+    from telespark.sources import timeseries as T
+
+    ts = np.repeat(1_000_000 * np.arange(1, 1300), 3)[: 2 * BLOCK - 500]
+    v = np.round(50 * np.sin(0.1 * np.arange(len(ts)))).astype(np.float32)
+    data = T.write_chunk(ts, v, repeats=True, absolute_error=0.25)
+    back, got = T.read_chunk(data, repeats=True)
+    assert (back == ts).all() and (np.rint(got) == v).all()
+    with pytest.raises(ValueError):
+        T.write_chunk(ts, v, absolute_error=0.25)
+    with pytest.raises(CorruptedStream):
+        T.read_chunk(data)
+    with pytest.raises(ValueError):
+        T.write_chunk(ts[::-1], v, repeats=True, absolute_error=0.25)
+    parts = [(np.sort(ts[a:e]), v[a:e]) for a, e in ((0, 1), (1, 900), (900, 3596))]
+    assert T.write_chunks(parts, repeats=True, absolute_error=0.25) == [T.write_chunk(*p, repeats=True, absolute_error=0.25) for p in parts]
+
+    rows = [(s, i, int(t), float(x)) for s in ("a", "b", None) for i, (t, x) in enumerate(zip(ts, v, strict=True))]
+    points = spark.createDataFrame(rows, "series_id string, sample_idx long, ts long, value float").repartition(3)
+    chunks = T.encode_chunks(points, per_chunk=700, repeats=True, absolute_error=0.25).cache()
+    assert sorted((r.series_id or "", r.chunk_no, r.first_ts, r.n) for r in chunks.collect()) == [(s, k, int(ts[700 * k]), min(700, len(ts) - 700 * k)) for s in ("", "a", "b") for k in range(6)]
+    assert sorted((r.series_id or "", r.chunk_no * 700 + r.i, r.ts, round(r.value)) for r in T.decode_chunks(chunks, repeats=True).collect()) == sorted((s or "", i, t, x) for s, i, t, x in rows)
+
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id div 3)"
+    spark.range(4000).selectExpr("id AS event_id", f"{at} AS ts", "id % 7 AS user_id", "if(id % 2 = 0, 'a', 'b') AS event_type", "CAST(id AS DOUBLE) / 8 AS value").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["chunk_roundtrip"](spark, str(tmp_path)).orderBy("series_id", "sample_idx").collect()
+    start = int(np.datetime64("2024-01-01", "us").astype(np.int64))
+    assert [tuple(r) for r in got] == [(s, k, start + i // 3 * 1_000_000, float(i // 8)) for s, f in (("a", 0), ("b", 1)) for k, i in enumerate(range(f, 4000, 2))]
