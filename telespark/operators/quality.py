@@ -93,7 +93,7 @@ def quantiles(samples: DataFrame, keys: list[str], at: list[float], value: str =
     """keys and levels: the exact quantiles of each series, interpolated as percentile() does; nulls don't count, and levels are null where nothing else is.
 
     No task holds a series' different values. Rows are counted by ranges of values, which tells the range of every wanted rank; only there
-    are values counted, each once, and summed up in their order.
+    are values counted, each once, and summed up in their order. The driver gets the numbers of the ranges that any series wants.
     """
     base = samples.select(*keys, F.col(value).cast("double").alias("_v"))
     base = base.withColumn("_range", range_of(F.col("_v"), range_cuts(base, F.col("_v"), ranges)))
@@ -104,7 +104,8 @@ def quantiles(samples: DataFrame, keys: list[str], at: list[float], value: str =
     ranks = F.array_distinct(F.array(*(f(x).cast("long") for x in places for f in (F.floor, F.ceil))))
     within = lambda start, count: lambda r: (r >= start) & (r < start + count)
     hit = counts.withColumn("_ranks", F.filter(ranks, within(F.col("_before"), F.col("_count")))).where(F.size("_ranks") > 0)
-    some = base.where("_v is not null").groupBy(*keys, "_range", "_v").agg(F.count("*").alias("_same")).join(hit.drop("_count"), [*keys, "_range"])
+    wanted = [r[0] for r in hit.select("_range").distinct().collect()]
+    some = base.where(F.col("_v").isNotNull() & F.col("_range").isin(wanted)).groupBy(*keys, "_range", "_v").agg(F.count("*").alias("_same")).join(hit.drop("_count"), [*keys, "_range"])
     start = F.col("_before") + F.coalesce(F.sum("_same").over(before.partitionBy(*keys, "_range").orderBy("_v")), F.lit(0))
     found = some.withColumn("_start", start).withColumn("_rank", F.explode(F.filter("_ranks", within(F.col("_start"), F.col("_same")))))
     held = found.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))

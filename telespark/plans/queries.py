@@ -421,10 +421,9 @@ _BASE = f", {_quantile_sql(3)}, base AS (SELECT series_id, count(*) AS samples,
 @query("codec_comparison", with_sql("O", _BASE + " SELECT series_id, samples, base_psnr, TRUE AS above FROM base"))
 def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error-bounded codec beside the quantile baseline of three bits, joined on series: the baseline's PSNR, and whether the codec is above it."""
-    rows = SERIES["O"](spark, sf_dir)
-    bounded = CodecConfig(absolute_error=100.0)
-    own = quality_ops.quality(rows.join(block_ops.decode_series(block_ops.encode_blocks(rows, bounded)).withColumnRenamed("value", "decoded"), ["series_id", "sample_idx"]), ["series_id"])
-    base = quality_ops.quality(quality_ops.uniform_quantile(rows, ["series_id"], 3), ["series_id"]).select("series_id", F.round("psnr_db", 5).alias("base_psnr"))
+    own = quality_ops.quality(block_ops.roundtrip(SERIES["O"](spark, sf_dir), CodecConfig(absolute_error=100.0)), ["series_id"])
+    values = table(spark, sf_dir, "orders").select(F.lit("O").alias("series_id"), F.col("o_totalprice").cast("float").alias("value"))  # no number is needed here
+    base = quality_ops.quality(quality_ops.uniform_quantile(values, ["series_id"], 3), ["series_id"]).select("series_id", F.round("psnr_db", 5).alias("base_psnr"))
     return own.join(base, ["series_id"]).select("series_id", "samples", "base_psnr", (F.col("psnr_db") > F.col("base_psnr")).alias("above"))
 
 

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 import subprocess
 import sys
 
@@ -240,6 +241,52 @@ def test_quantile_baselines_hold_no_series_in_a_task(spark, name):
     assert "percentile(" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()
 
 
+def test_blocks_are_coded_and_decoded_in_one_task(spark, monkeypatch):
+    from telespark.operators import quality
+
+    rng = np.random.default_rng(11)
+    ends = {"a": 3 * BLOCK + 7, "b": 1, "c": 2 * BLOCK, None: BLOCK + 1}
+    made = [(k, i, float(v)) for k, n in ends.items() for i, v in enumerate(np.cumsum(rng.normal(size=n)))]
+    gaps = [("d", i, float(i % 17)) for i in (0, 5, BLOCK - 1, 4 * BLOCK + 3, 4 * BLOCK + 9, 9 * BLOCK)]
+    rows = spark.createDataFrame(made + gaps, "series_id string, sample_idx long, value float").repartition(5)
+    value = {(k, i): np.float32(v) for k, i, v in made + gaps}
+    config = CodecConfig(absolute_error=0.01)
+    for paired, records in ((128, 10000), (2, 700), (1, 1)):
+        monkeypatch.setattr(B, "PAIRED", paired)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            some = rows if records > 1 else rows.where("series_id in ('b', 'd')")
+            got = B.roundtrip(some, config)
+            want = B.decode_blocks(B.encode_blocks(some, config)).select("series_id", "block_no", F.explode("values").alias("decoded"))
+            assert sorted((r.series_id or "", r.decoded) for r in got.collect()) == sorted((r.series_id or "", r.decoded) for r in want.collect())
+            assert sorted((r.series_id or "", r.value) for r in got.collect()) == sorted((k or "", v) for (k, _), v in value.items() if records > 1 or k in ("b", "d"))
+            assert max(r.max_absolute_error for r in quality.quality(got, ["series_id"]).collect()) <= config.absolute_error * 1.001
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert B.roundtrip(rows.where("false"), CodecConfig(absolute_error=1.0)).collect() == []
+    for bad in (None, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="non-finite"):
+            B.roundtrip(spark.createDataFrame([("a", 0, 1.0), ("a", 1, bad)], "series_id string, sample_idx long, value float"), CodecConfig(absolute_error=1.0)).collect()
+
+
+def test_quantiles_count_values_only_where_ranks_lie(spark):
+    from telespark.operators import quality
+
+    rows = spark.range(20000).selectExpr("'a' AS series_id", "CAST(id AS DOUBLE) AS value")
+    levels = quality.quantiles(rows, ["series_id"], [0.25, 0.75])
+    assert levels.first().levels == [4999.75, 14999.25]
+    kept = re.search(r"_range#\d+ IN \(([\d,]+)\)|CASE WHEN .* IN \(([\d,]+)\)", levels._jdf.queryExecution().optimizedPlan().toString())
+    assert kept and len((kept[1] or kept[2]).split(",")) <= 4
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_comparison_joins_no_samples(spark):
+    """Neither do samples meet their decoded ones in a join, nor does an aggregate gather blocks, nor does the baseline number rows."""
+    plan = QUERIES["codec_comparison"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(pos" not in plan and "collect_list(named_struct(pos" not in plan
+    assert not re.search(r"Join .*sample_idx", plan) and plan.count("row_number()") == 1
+
+
 def test_the_first_query_of_a_session(spark, tmp_path):
     """In a process of its own: there the table's columns get Spark's lowest expression ids."""
     spark.range(5000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00.25' + make_dt_interval(0, 0, 0, id) AS ts", "id % 7 AS user_id", "if(id % 2 = 0, 'a', 'b') AS event_type", "CAST(id AS DOUBLE) AS value").write.parquet(str(tmp_path / "events.parquet"))
