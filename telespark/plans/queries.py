@@ -232,7 +232,7 @@ _PSNR = "round(10 * log10(power(max(value) - min(value), 2) / avg(power(value -
     " UNION ALL ".join(f"SELECT * FROM ({with_sql('Et', ', ' + _quantile_sql(bits) + f', p AS (SELECT series_id, {_PSNR} AS psnr_db FROM d GROUP BY series_id) SELECT CAST({bits} AS INTEGER) AS rate, round(avg(psnr_db), 3) AS psnr_db, round(max(psnr_db), 3) AS best_psnr_db FROM p')})" for bits in (2, 3, 4)),
 )
 def rd_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = SERIES["Et"](spark, sf_dir)
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").cast("string").alias("series_id"), F.col("value").cast("float").alias("value"))  # no number is needed here
     parts = [quality_ops.quality(quality_ops.uniform_quantile(rows, ["series_id"], bits), ["series_id"]).select(F.lit(bits).alias("rate"), F.lit(float(bits)).alias("bits_per_sample"), F.round("psnr_db", 5).alias("psnr_db")) for bits in (2, 3, 4)]
     made = quality_ops.rate_distortion(parts[0].union(parts[1]).union(parts[2]))
     return made.select("rate", F.round("psnr_db", 3).alias("psnr_db"), F.round("best_psnr_db", 3).alias("best_psnr_db"))
